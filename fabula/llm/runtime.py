@@ -76,7 +76,7 @@ class Scratch:
 
 def plan_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of the bytes of ``df``, from file sizes; runs no job."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def shuffle_parts(spark: SparkSession) -> int:
