@@ -34,9 +34,9 @@ from fabula.llm.runtime import Scratch, keep_columns, plan_bytes, shuffle_parts,
 LENGTH = 50
 GRAM = 24
 #: Anchors that a task gathers before it passes them on.
-FLUSH = 1_500_000
+FLUSH = 400_000
 #: Aims for the size of groups: anchors, bytes of documents (as stored), bytes of pieces.
-GROUP_ANCHORS, GROUP_TEXT, GROUP_PIECES = 1_000_000, 4 << 20, 1 << 20
+GROUP_ANCHORS, GROUP_TEXT, GROUP_PIECES = 500_000, 4 << 20, 1 << 20
 
 _POS = np.uint64((1 << 22) - 1)
 
