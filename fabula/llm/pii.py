@@ -75,9 +75,13 @@ def _word(piece: Column, last: bool) -> Column:
     return F.lower(F.regexp_replace(F.regexp_extract(near, r"(\S+)\s*$" if last else r"^\s*(\S+)", 1), r"[^\p{L}]", ""))
 
 
-def found_spans(text: Column, kind: str, pattern: str, test: Callable[[Column], Column]) -> Column:
-    """The matches that pass the test: array of (start, kind, end, value, left, right), in order."""
-    item = "array<struct<start:int,kind:int,end:int,value:string,left:string,right:string>>"
+def found_spans(text: Column, kind: str, pattern: str, test: Callable[[Column], Column], near: int = 0) -> Column:
+    """The matches that pass the test: array of (start, kind, end, value, left, right), in order.
+
+    With ``near`` also before, the so many characters in front.
+    """
+    more = ",before:string" if near else ""
+    item = f"array<struct<start:int,kind:int,end:int,value:string,left:string,right:string{more}>>"
     code = KINDS.index(kind) if kind in KINDS else len(KINDS)
     none = F.array().cast(item)
 
@@ -89,6 +93,7 @@ def found_spans(text: Column, kind: str, pattern: str, test: Callable[[Column],
                 span = F.struct(
                     start.alias("start"), F.lit(code).alias("kind"), end.alias("end"), value.alias("value"),
                     _word(F.get(pieces, i), True).alias("left"), _word(F.get(pieces, i + 1), False).alias("right"),
+                    *([F.substring(F.get(pieces, i), -near, near).alias("before")] if near else []),
                 )
                 return F.struct(end.alias("at"), F.when(test(value), F.concat(state["spans"], F.array(span))).otherwise(state["spans"]).alias("spans"))
 

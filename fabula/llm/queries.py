@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fabula.llm import decontaminate, linededup, mixing, neardup, pii, substrings, tokenout, toxicity
+from fabula.llm import decontaminate, embeddings, linededup, mixing, neardup, pii, secrets, substrings, tokenout, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,11 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(_table(spark, sf_dir, "documents"), path="source")
+    return found.select("doc_id", "start", "end", F.sha2("value", 256).alias("value_sha256"), "score", "is_secret")
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -42,6 +47,10 @@ def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.without_repeats(_table(spark, sf_dir, "documents"), texts=False).drop("kept")
 
 
+def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicate_vectors(_table(spark, sf_dir, "embeddings"), 0.95)
+
+
 def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = tokenout.training_order(_table(spark, sf_dir, "documents"))
     return placed.withColumn("ids_sha256", F.sha2("ids", 256)).drop("ids")
@@ -53,9 +62,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_mixing": op2_mixing,
         "op3_minhash": op3_minhash,
         "op4_line_dedup": op4_line_dedup,
+        "op5_secrets": op5_secrets,
         "op6_toxicity": op6_toxicity,
         "op7_pii": op7_pii,
         "op8_substrings": op8_substrings,
+        "op9_embeddings": op9_embeddings,
         "op10_token_ids": op10_token_ids,
     }
 
