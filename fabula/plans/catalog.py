@@ -1,15 +1,387 @@
-"""Queries over the test tables, one for each operator, with their SQL."""
+"""Queries over the test tables, one for each operator, with their SQL.
+
+The tables hold no Russian text, dashes or questions, so most queries first
+rewrite texts by an expression that both dialects share, in a way that makes
+their rule fire; every query reads its whole table.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from fabula.functions import audio, keys, text as T
+from fabula.functions.numbers import HUNDREDS, MINUS, SCALES, TEENS, TENS, UNITS, UNITS_FEMININE, ZERO, integer_to_words, numbers_to_words
+from fabula.operators import chapters, dialogue, segment, state, synth
+from fabula.sources import readers, writers
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+WS = r"[\x09-\x0d\x1c-\x1f\x{85}\p{Z}]"
+COMPACT = rf"trim(regexp_replace($T, '{WS}+', ' ', 'g'))"
+STRIP = rf"regexp_replace(regexp_replace($T, '^{WS}+', ''), '{WS}+$', '')"
+
+# Rewritings, valid in Spark SQL and in DuckDB.
+TEXT = "text"
+BLANK_LINES = "replace(text, chr(10), chr(10) || ' ' || chr(10))"
+QUESTIONS = "replace(replace(text, '.' || chr(10), '?' || chr(10)), ', ', '!? ')"
+DASHES = "replace(replace(text, ', ', ' — '), '. ', ' – ')"
+QUOTES = "replace(replace(replace(text, ', ', '» «'), '. ', '… „'), ' the ', ' *“the”* ')"
+SPEECH = "'- ' || replace(replace(replace(replace(text, chr(10), chr(10) || chr(10) || '- '), ', ', ' - сказал он тихо, '), ' the ', ' - the '), ' of ', '? ')"
+NUMBERS = "replace(replace(replace(text, ' the ', ' 2017 '), ' and ', ' 11000 '), ' of ', ' 007 ')"
+COMMAS = "replace(replace(replace(text, ' the ', ', the, '), ' der ', ', DER , '), ' le ', ',le, ')"
+CHAPTERS = "replace(replace(text, chr(10), chr(10) || chr(10) || 'Том 1 Глава 2 - Der' || chr(10) || chr(10)), '. ', chr(10) || chr(10))"
+GLUED = "replace(text, '. ', '. Том 1 Глава 12 — ')"
+ESCAPED = "'\ufeff`' || replace(replace(text, chr(10), '\\\\n\\\\n'), ', ', ',\\\\r\\\\n')"
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _source(spark: SparkSession, sf_dir: str, rewriting: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select("doc_id", F.expr(rewriting).alias("t"))
+
+
+def _from(rewriting: str) -> str:
+    return f"(SELECT doc_id, {rewriting.replace(chr(92) * 2, chr(92))} AS t FROM documents)"
+
+
+def scalar(name: str, value: Callable[[Column], Column], sql: str | None, rewriting: str = TEXT) -> None:
+    """A function of each document's text."""
+    _QUERIES[name] = lambda spark, sf_dir: _source(spark, sf_dir, rewriting).select("doc_id", value(F.col("t")).alias("value"))
+    if sql is not None:
+        _SQL[name] = f"SELECT doc_id, {sql.replace('$T', 't')} AS value FROM {_from(rewriting)}"
+
+
+def listed(name: str, values: Callable[[Column], Column], sql: str | None, rewriting: str = TEXT) -> None:
+    """A list made of each document's text, a row for each entry."""
+    _QUERIES[name] = lambda spark, sf_dir: _source(spark, sf_dir, rewriting).select("doc_id", values(F.col("t")).alias("v")).select("doc_id", F.posexplode("v").alias("idx", "value"))
+    if sql is not None:
+        _SQL[name] = f"SELECT doc_id, CAST(i - 1 AS INTEGER) AS idx, parts[i] AS value FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT doc_id, {sql.replace('$T', 't')} AS parts FROM {_from(rewriting)}))"
+
+
+def _of(expr: str, inner: str) -> str:
+    return expr.replace("$T", inner)
+
+
+def _sql_filled(parts: str) -> str:
+    return f"list_filter(list_transform({parts}, lambda p: {_of(STRIP, 'p')}), lambda p: p <> '')"
+
+
+def _sql_split(pattern: str, subject: str = "$T") -> str:
+    return f"string_split(regexp_replace({subject}, '{pattern}', chr(1), 'g'), chr(1))"
+
+
+_SENTENCES = rf"string_split(regexp_replace($T, '([.!?…]){WS}+', '\1' || chr(1), 'g'), chr(1))"
+_TERMINAL = "CASE WHEN right($T, 1) IN (',', ':', ';') THEN left($T, length($T) - 1) || '.' WHEN right($T, 1) IN ('.', '!', '?', '…') THEN $T ELSE $T || '.' END"
+_CAPITAL = "(CASE WHEN left($T, 1) = 'ß' THEN 'SS' ELSE upper(left($T, 1)) END || substring($T, 2))"
+_KIND = "CASE right($T, 1) WHEN '?' THEN 'question' WHEN '!' THEN 'exclamation' ELSE 'line' END"
+_MARKED = rf"regexp_replace($T, '([A-Za-zА-Яа-яЁё0-9-]+){WS}*\?$', '*\1*?')"
+_ESCAPE = "replace(replace(replace($T, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+
+# ---------------------------------------------------------------- text functions
+scalar("ws_compact", T.compact, COMPACT)
+scalar("ws_compact_wide", T.compact_wide, _of(COMPACT, "replace(replace(replace($T, chr(160), ' '), '\u200b', ''), '\u2060', '')"), "replace(replace(text, ' the ', chr(160) || 'the' || '\u200b'), chr(10), '\u2060' || chr(10))")
+scalar("dash_fold", T.fold_dashes, "replace(replace($T, '—', '-'), '–', '-')", DASHES)
+scalar("mark_fold", T.fold_marks, r"regexp_replace($T, '\?!|!\?', '?', 'g')", QUESTIONS)
+scalar("yo_fold", T.fold_yo, "replace(replace($T, 'Ё', 'Е'), 'ё', 'е')", "replace(replace(text, 'the', 'ёлка'), 'T', 'Ё')")
+scalar("decorative_filter", T.tts_clean, rf"replace({_of(STRIP, f'regexp_replace({COMPACT}, ' + chr(39) + rf'^\*+(?:{WS}+\*+)*[.!?…]*$' + chr(39) + ', ' + chr(39) * 2 + ')')}, chr(34), '')", "CASE WHEN length(text) < 300 THEN ' *** **.' ELSE replace(text, ' the ', ' \"the\" ') END")
+scalar("vosk_normalize", T.speaker_normalize, _of(COMPACT, r"regexp_replace(replace(replace(replace(replace(replace(regexp_replace($T, '[*«»\"„“”‘’]', '', 'g'), '—', '-'), '–', '-'), '…', '.'), '...', '.'), '. . .', '.'), '\.{3,}', '.', 'g')".replace("$T", STRIP)), QUOTES)
+scalar("accent_normalize", T.stress_normalize, _of(COMPACT, "regexp_replace(regexp_replace($T, '[„“”«»]', '\"', 'g'), '[‘’]', chr(39), 'g')"), QUOTES)
+scalar("safe_name", T.safe_name, rf"rtrim(left(CASE WHEN trim(regexp_replace({COMPACT}, '[\\/:*?\"<>|]', '_', 'g'), '. ') = '' THEN 'chapter' ELSE trim(regexp_replace({COMPACT}, '[\\/:*?\"<>|]', '_', 'g'), '. ') END, 120), '. ')", "CASE WHEN length(text) < 60 THEN ' . ' ELSE replace(replace(text, ', ', ': '), ' the ', '/the?') END")
+scalar("heading_normalize", T.heading_normalize, _of(STRIP, rf"regexp_replace(replace(replace({COMPACT}, '—', '-'), '–', '-'), '{WS}*-{WS}*', ' - ', 'g')"), DASHES)
+scalar("newline_fold", T.fold_newlines, _of(STRIP, rf"regexp_replace($T, '{WS}*\n{WS}*', ' ', 'g')"))
+scalar("ssml_build", lambda t: T.speech_markup(T.compact(t), F.lit("high"), F.lit(None).cast("string")), f"'<speak><p><prosody pitch=\"high\" rate=\"medium\">' || {_of(_ESCAPE, COMPACT)} || '</prosody></p></speak>'", "replace(text, ' the ', ' <the> & ')")
+scalar("symbol_filter", lambda t: T.allowed_only(t, " abcdefghijklmnopqrstuvwxyz.,", False), _of(COMPACT, "regexp_replace(lower($T), '[^ a-z.,]', '', 'g')"))
+scalar("short_title", T.short_title, rf"CASE WHEN regexp_matches({COMPACT}, '(?i)глава {{1,}}\p{{Nd}}+') THEN trim('Глава ' || regexp_extract({COMPACT}, '(?i)глава (\p{{Nd}}+) *[:.]? *(.*)$', 1) || ' ' || trim(regexp_extract({COMPACT}, '(?i)глава (\p{{Nd}}+) *[:.]? *(.*)$', 2))) ELSE {COMPACT} END", "CASE WHEN length(text) < 1000 THEN 'Том 1 ГЛАВА 7: ' || replace(text, chr(10), ' ') ELSE text END")
+scalar("numbers_in_documents", numbers_to_words, None, NUMBERS)
+scalar("comma_strip", lambda t: T.strip_commas(t, ("the", "der", "le")), None, COMMAS)
+scalar("normalize_text", lambda t: T.normalize(t, ("the", "der", "le")), None, COMMAS)
+scalar("isolate_headings", T.isolate_headings, None, GLUED)
+scalar("chapter_key", lambda t: keys.chapter_key(F.lit("Книга"), t), "left(sha1('Книга' || chr(10) || $T), 16)")
+scalar("chunks_hash", lambda t: keys.chunks_hash(segment.lines(t)), f"sha1(array_to_string({_sql_filled('string_split($T, chr(10))')}, chr(10) || '<chunk>' || chr(10)))")
+scalar("unescape", lambda t: T.unescape_newlines(T.clean_wrappers(t)), _of(r"replace(replace(replace($T, '\r\n', chr(10)), '\n', chr(10)), '\r', chr(10))", _of(STRIP, "regexp_replace(ltrim($T, '\ufeff'), '^`', '')")), ESCAPED)
+
+_LOOK = rf"(^|[^\p{{L}}\p{{N}}_])"
+
+
+def _sql_commas(subject: str, words: tuple[str, ...]) -> str:
+    """Words between markers stand for word boundaries, which DuckDB knows in ASCII only."""
+    out = rf"regexp_replace({subject}, '([\p{{L}}\p{{N}}_]+)', chr(1) || '\1' || chr(2), 'g')"
+    for w in words:
+        out = rf"regexp_replace({out}, '(?i),{WS}*(\x01{w}\x02)', ' \1', 'g')"
+        out = rf"regexp_replace({out}, '(?i)(\x01{w}\x02){WS}*,{WS}*', '\1 ', 'g')"
+    return rf"regexp_replace(replace(replace({out}, chr(1), ''), chr(2), ''), '[ \t]{{2,}}', ' ', 'g')"
+
+
+_SQL["comma_strip"] = f"SELECT doc_id, {_sql_commas('t', ('the', 'der', 'le'))} AS value FROM {_from(COMMAS)}"
+
+
+def _sql_words(digits: str) -> str:
+    """SQL for a string of digits in words: groups of three, from the left."""
+    lit = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+    n = "CAST(substring(d, i * 3 + 1, 3) AS INTEGER)"
+    scale = "(len(d) // 3 - 1 - i)"
+    small = f"CASE WHEN {n} % 100 BETWEEN 10 AND 19 THEN {lit(TEENS)}[{n} % 100 - 9] ELSE concat_ws(' ', nullif({lit(TENS)}[{n} % 100 // 10 + 1], ''), nullif(CASE WHEN {scale} = 1 THEN {lit(UNITS_FEMININE)}[{n} % 10 + 1] ELSE {lit(UNITS)}[{n} % 10 + 1] END, '')) END"
+    form = f"CASE WHEN {n} % 100 BETWEEN 11 AND 14 THEN 3 WHEN {n} % 10 = 1 THEN 1 WHEN {n} % 10 IN (2, 3, 4) THEN 2 ELSE 3 END"
+    noun = "CASE " + " ".join(f"WHEN {scale} = {k} THEN {lit(s)}[{form}]" for k, s in enumerate(SCALES, 1)) + " END"
+    group = f"CASE WHEN {n} = 0 THEN '' ELSE concat_ws(' ', nullif({lit(HUNDREDS)}[{n} // 100 + 1], ''), nullif({small}, ''), {noun}) END"
+    said = f"array_to_string(list_filter(list_transform(range(len(d) // 3), lambda i: {group}), lambda w: w <> ''), ' ')"
+    padded = f"lpad(ltrim({digits}, '0'), CAST(ceil(length(ltrim({digits}, '0')) / 3.0) * 3 AS INTEGER), '0')"
+    return f"CASE WHEN ltrim({digits}, '0') = '' THEN '{ZERO}' ELSE list_transform([{padded}], lambda d: {said})[1] END"
+
+
+_SQL["numbers_in_documents"] = (
+    f"WITH p AS (SELECT doc_id, regexp_extract_all(t, '[0-9]+|[^0-9]+') AS parts FROM {_from(NUMBERS)}), x AS (SELECT doc_id, i, parts[i] AS s FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM p)) "
+    f"SELECT p.doc_id, coalesce(v, '') AS value FROM p LEFT JOIN (SELECT doc_id, string_agg(CASE WHEN s < ':' AND regexp_matches(s, '^[0-9]') THEN {_sql_words('s')} ELSE s END, '' ORDER BY i) AS v FROM x GROUP BY doc_id) y ON p.doc_id = y.doc_id"
+)
+
+
+def int_to_words_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "orders").select("o_orderkey", integer_to_words(F.col("o_orderkey") * 7919).alias("words"), integer_to_words(-F.col("o_orderkey")).alias("negative"))
+
+
+_QUERIES["int_to_words_orders"] = int_to_words_orders
+_SQL["int_to_words_orders"] = f"SELECT o_orderkey, {_sql_words('CAST(o_orderkey * 7919 AS VARCHAR)')} AS words, CASE WHEN o_orderkey = 0 THEN '{ZERO}' ELSE '{MINUS} ' || {_sql_words('CAST(o_orderkey AS VARCHAR)')} END AS negative FROM orders"
+
+# ---------------------------------------------------------------- segmentation
+listed("paragraphs", segment.paragraphs, _sql_filled(_sql_split(rf"\n{WS}*\n")), BLANK_LINES)
+listed("plain_paragraphs", segment.plain_paragraphs, _sql_filled(r"string_split(regexp_replace($T, '\n{3,}', chr(10) || chr(10), 'g'), chr(10) || chr(10))"), "replace(text, chr(10), chr(10) || chr(10) || chr(10))")
+listed("lines", segment.lines, _sql_filled("string_split($T, chr(10))"))
+listed("sentences_a", segment.sentences, _sql_filled(_SENTENCES))
+listed("sentences_b", lambda t: segment.sentences_tight(T.compact_wide(t)), None)
+listed("terminal_punct", lambda t: F.transform(segment.lines(t), T.terminal), f"list_transform({_sql_filled('string_split($T, chr(10))')}, lambda x: {_of(_TERMINAL, 'x')})")
+listed("capitalize_first", lambda t: F.transform(segment.lines(F.lower(t)), T.capitalize), f"list_transform({_sql_filled('string_split(lower($T), chr(10))')}, lambda x: {_of(_CAPITAL, 'x')})")
+listed("question_mark_word", lambda t: F.transform(segment.lines(t), T.mark_question), f"list_transform({_sql_filled('string_split($T, chr(10))')}, lambda x: {_of(_MARKED, 'x')})", QUESTIONS)
+
+_JOIN = "CASE WHEN s.o = '' THEN x.o ELSE s.o || ' ' || x.o END"
+_CLOSE = "CASE WHEN s.o = '' THEN s.d ELSE list_append(s.d, s.o) END"
+
+
+def _sql_pack(units: str, most: int) -> str:
+    """Greedy packing by a fold; units longer than the limit are cut, and their pieces stay alone."""
+    cut = f"list_transform(range(CAST(ceil(length(x.o) / {most}.0) AS BIGINT)), lambda k: substring(x.o, k * {most} + 1, {most}))"
+    step = (
+        f"CASE WHEN length({_JOIN}) <= {most} THEN {{'d': s.d, 'o': {_JOIN}}} "
+        f"WHEN length(x.o) > {most} THEN {{'d': list_concat({_CLOSE}, {cut}), 'o': ''}} ELSE {{'d': {_CLOSE}, 'o': x.o}} END"
+    )
+    folded = f"list_reduce(list_transform({units}, lambda w: {{'d': CAST([] AS VARCHAR[]), 'o': w}}), lambda s, x: {step}, {{'d': CAST([] AS VARCHAR[]), 'o': ''}})"
+    return f"list_transform([{folded}], lambda s: {_CLOSE})[1]"
+
+
+listed("pack_words", lambda t: segment.pack_words(t, 12), _sql_pack(f"list_filter(string_split({COMPACT}, ' '), lambda w: w <> '')", 12))
+listed("pack_neighbors", lambda t: segment.pack_neighbors(segment.lines(t), 400), None)
+listed("pack_sentences", lambda t: segment.pack_sentences(t, 200), None)
+listed("balanced_chunks", lambda t: segment.balanced(segment.sentences(t), 250), None)
+listed("chunk_text", lambda t: segment.chunk_text(t, 250), None, BLANK_LINES)
+listed("chunk_paragraphs", lambda t: segment.chunk_paragraphs(segment.lines(t), 250), None)
+listed("escaped_paragraphs", chapters.book_paragraphs, None, ESCAPED)
+
+
+listed("line_mode_chunks", lambda t: segment.chunk_lines(t, 120), None)
+
+
+def kind_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("lang", T.compact("text").alias("t"))
+    return docs.select("lang", F.explode(segment.sentences(numbers_to_words("t"))).alias("s")).groupBy("lang", T.kind("s").alias("kind")).agg(F.count("*").alias("n"))
+
+
+_QUERIES["kind_counts"] = kind_counts
+_SQL["kind_counts"] = f"SELECT lang, {_of(_KIND, 's')} AS kind, count(*) AS n FROM (SELECT lang, unnest({_sql_filled(_of(_SENTENCES, _of(COMPACT, 'text')))}) AS s FROM documents) GROUP BY ALL"
+
+# ---------------------------------------------------------------- dialogue
+_VERBS = "|".join(dialogue.REMARK_VERBS)
+_ADVERBS = "|".join(dialogue.ADVERBS)
+_END = r"([^\p{L}\p{N}_]|$)"
+
+
+def author_remark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = _source(spark, sf_dir, SPEECH).select("doc_id", F.posexplode(F.split(T.compact("t"), " - ")).alias("idx", "part"))
+    return parts.select("doc_id", "idx", dialogue.is_remark(F.col("part")).alias("is_remark"))
+
+
+_QUERIES["author_remark"] = author_remark
+_SQL["author_remark"] = (
+    f"SELECT doc_id, CAST(i - 1 AS INTEGER) AS idx, CASE WHEN regexp_matches(p, '[?!]') THEN regexp_matches(p, '^(?:(?:{_ADVERBS}) )?(?:{_VERBS}){_END}') "
+    f"ELSE regexp_matches(p, '^(?:(?:я|[а-яёa-z][а-яёa-z-]+) )?(?:(?:{_ADVERBS}) )?(?:{_VERBS}){_END}') END AS is_remark "
+    f"FROM (SELECT doc_id, i, lower({_of(COMPACT, 'parts[i]')}) AS p FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT doc_id, string_split({_of(COMPACT, 't')}, ' - ') AS parts FROM {_from(SPEECH)})))"
+)
+
+
+def adjacent_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _source(spark, sf_dir, QUESTIONS).select("doc_id", F.posexplode(dialogue.speech_kinds(F.col("t"))).alias("idx", "u"))
+    return rows.select("doc_id", "idx", "u.kind", "u.text")
+
+
+_QUERIES["adjacent_merge"] = adjacent_merge
+_SQL["adjacent_merge"] = (
+    f"WITH n AS (SELECT doc_id, {_of(_TERMINAL, 'c')} AS t FROM (SELECT doc_id, {_of(COMPACT, 't')} AS c FROM {_from(QUESTIONS)})), "
+    f"s AS (SELECT doc_id, i, parts[i] AS x FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT doc_id, {_sql_filled(_of(_SENTENCES, 't'))} AS parts FROM n))), "
+    f"c AS (SELECT doc_id, i, {_of(_TERMINAL, _CAPITAL).replace('$T', 'x')} AS x FROM s), k AS (SELECT doc_id, i, {_of(_KIND, 'x')} AS kind, {_of(_MARKED, 'x')} AS x FROM c), "
+    "f AS (SELECT *, CASE WHEN kind <> 'question' AND lag(kind) OVER (PARTITION BY doc_id ORDER BY i) = kind THEN 0 ELSE 1 END AS fresh FROM k), "
+    "g AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS grp FROM f) "
+    "SELECT doc_id, CAST(grp - 1 AS INTEGER) AS idx, any_value(kind) AS kind, string_agg(x, ' ' ORDER BY i) AS text FROM g GROUP BY doc_id, grp"
+)
+
+
+def dialogue_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dialogue.parse_book(_source(spark, sf_dir, SPEECH), "t", most=0)
+
+
+def parse_book(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dialogue.parse_book(_source(spark, sf_dir, SPEECH), "t", most=200)
+
+
+_QUERIES |= {"dialogue_chunks": dialogue_chunks, "parse_book": parse_book}
+
+
+def chapter_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _source(spark, sf_dir, CHAPTERS).select("doc_id", segment.plain_paragraphs(F.col("t")).alias("paragraphs"))
+    titled = rows.withColumn("title", chapters.guess_title(F.col("paragraphs"), F.lit("book")))
+    return chapters.split_chapters(titled).select("doc_id", "chapter_idx", "title", F.array_join("paragraphs", "\n\n").alias("text"))
+
+
+def title_guess(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select("doc_id", chapters.guess_title(segment.plain_paragraphs(F.col("text")), F.lit("book")).alias("title"))
+
+
+_QUERIES |= {"chapter_split": chapter_split, "title_guess": title_guess}
+_SQL["title_guess"] = f"SELECT doc_id, CASE WHEN length(f) BETWEEN 2 AND 120 THEN f ELSE 'book' END AS title FROM (SELECT doc_id, {_of(STRIP, 'string_split(p, chr(10))[1]')} AS f FROM (SELECT doc_id, {_of(_sql_filled('string_split($T, chr(10) || chr(10))'), 'text')}[1] AS p FROM documents))"
+_SQL["chapter_split"] = (
+    f"WITH p AS (SELECT doc_id, {_of(_sql_filled(rf'string_split(regexp_replace($T, {chr(39)}\n{{3,}}{chr(39)}, chr(10) || chr(10), {chr(39)}g{chr(39)}), chr(10) || chr(10))'), 't')} AS parts FROM {_from(CHAPTERS)}), "
+    f"b AS (SELECT doc_id, parts, CASE WHEN length(f) BETWEEN 2 AND 120 THEN f ELSE 'book' END AS book FROM (SELECT doc_id, parts, {_of(STRIP, 'string_split(parts[1], chr(10))[1]')} AS f FROM p)), "
+    "r AS (SELECT doc_id, book, i, parts[i] AS x FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS i FROM b)), "
+    f"n AS (SELECT *, {_of(STRIP, rf'regexp_replace({_of(COMPACT, chr(120))}, {chr(39)} *- *{chr(39)}, {chr(39)} - {chr(39)}, {chr(39)}g{chr(39)})')} AS norm FROM r), "
+    r"h AS (SELECT *, CASE WHEN regexp_matches(norm, '^(Том \p{Nd}+ )?Глава \p{Nd}+( *[-:] .+)?$') THEN norm END AS head FROM n), "
+    "g AS (SELECT *, count(head) OVER w AS grp, coalesce(last_value(head IGNORE NULLS) OVER w, book) AS title FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING)), "
+    "c AS (SELECT doc_id, grp, any_value(title) AS title, any_value(book) AS book, count(*) FILTER (WHERE head IS NULL) AS n, list(x ORDER BY i) FILTER (WHERE head IS NULL) AS xs, list(norm ORDER BY i) FILTER (WHERE head IS NULL) AS ns FROM g GROUP BY doc_id, grp), "
+    "k AS (SELECT *, max(n) OVER (PARTITION BY doc_id) AS mx, max(grp) OVER (PARTITION BY doc_id) AS last FROM c), "
+    "m AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY grp) - 1 AS chapter_idx FROM k WHERE n > 0 OR (mx = 0 AND grp = last)) "
+    f"SELECT doc_id, CAST(chapter_idx AS INTEGER) AS chapter_idx, title, coalesce(array_to_string(CASE WHEN chapter_idx = 0 AND ns[1] = {_of(STRIP, rf'regexp_replace({_of(COMPACT, chr(98) + chr(111) * 2 + chr(107))}, {chr(39)} *- *{chr(39)}, {chr(39)} - {chr(39)}, {chr(39)}g{chr(39)})')} THEN xs[2:] ELSE xs END, chr(10) || chr(10)), '') AS text FROM m"
+)
+
+# ---------------------------------------------------------------- books, audio, state
+
+
+def _books(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A FictionBook file of each page, with its markup as text."""
+    pages = _table(spark, sf_dir, "pages")
+    body = F.concat(F.lit("<section><title><p>"), T.escape("url"), F.lit("</p></title><p>"), T.escape(F.regexp_replace("html", r"[\x00-\x08\x0b-\x1f]", "")), F.lit("</p></section><section><p> </p></section>"))
+    book = F.concat(F.lit(f'<FictionBook xmlns="{readers.NAMESPACE}"><body>'), body, F.lit("</body></FictionBook>"))
+    return pages.select("page_id", book.cast("binary").alias("content"))
+
+
+def fb2_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = readers.chapters_of(_books(spark, sf_dir), "page_id")
+    return found.select("page_id", "chapter_idx", "title", F.element_at("paragraphs", 2).alias("text"), "error")
+
+
+def fb2_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("book_title"), F.lit(0).alias("chapter_idx"), F.lit("Глава 1").alias("title"), segment.lines(F.regexp_replace("text", r"[\x00-\x08\x0b-\x1f]", "")).alias("paragraphs"))
+    return writers.fb2_files(rows, "doc_id", "2024-01-01")
+
+
+def pitch_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = _table(spark, sf_dir, "part").select("p_partkey", F.expr("CASE p_partkey % 4 WHEN 0 THEN CAST(p_size AS STRING) || '%' WHEN 1 THEN ' -' || CAST(p_size * 8 AS STRING) || ' hz' WHEN 2 THEN '+' || CAST(p_size AS STRING) || 'HZ' ELSE 'x' END").alias("spec"))
+    return parts.select("p_partkey", "spec", F.round(audio.pitch_factor("spec"), 9).alias("factor"))
+
+
+def atempo_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "part").select("p_partkey", F.posexplode(audio.tempo_chain(F.col("p_size") / 7.3)).alias("idx", "x")).select("p_partkey", "idx", F.round("x", 9).alias("factor"))
+
+
+def tone_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "part").select("p_partkey", audio.tone_filter(F.concat(F.col("p_size").cast("string"), F.lit("%")), 48000).alias("filter"))
+
+
+def playlist_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = F.transform(segment.lines(F.col("t")), lambda x, i: F.format_string("part_%05d.wav", i + 1))
+    rows = _source(spark, sf_dir, TEXT).select("doc_id", F.array_join(state.playlist(parts, F.lit("silence.wav"), 0.022), "\n").alias("playlist"))
+    return rows
+
+
+def tone_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return state.tone_histogram(_table(spark, sf_dir, "documents").withColumn("post_tone", F.expr("CASE WHEN lang = 'en' THEN ' ' ELSE ' -' || CAST(length(text) % 5 AS STRING) || '% ' END")))
+
+
+def chapter_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return state.chapter_counts(_table(spark, sf_dir, "documents").withColumn("post_tone", F.expr("CASE WHEN lang = 'en' THEN ' ' ELSE '-5%' END")), ["source", "lang"])
+
+
+def resume_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source")
+    return state.pending(docs, _table(spark, sf_dir, "labels"), ["doc_id"])
+
+
+def parts_to_make(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents").select("doc_id", "lang"), _table(spark, sf_dir, "labels")
+    return state.parts_to_make(docs, labels.where("quality = 1"), labels.where("toxic = 1"), ["doc_id"])
+
+
+def cached_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chapter_key"), F.lit(250).alias("max_chars"), "text")
+    cache = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("chapter_key"), F.when(F.col("toxic") == 1, 200).otherwise(250).alias("max_chars"), F.when(F.col("quality") == 1, F.array(F.lit("kept"), F.lit(" "))).otherwise(F.array(F.lit(" "))).alias("chunks"))
+    rows = state.with_cached_chunks(docs, cache, segment.lines(F.col("text")))
+    return rows.select(F.col("chapter_key").alias("doc_id"), "from_cache", F.array_join("chunks", "|").alias("chunks"))
+
+
+def state_invalidation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chapter_key"), "source", F.expr("CASE WHEN n_chars % 3 = 0 THEN NULL ELSE lang END").alias("lang"))
+    old = docs.join(_table(spark, sf_dir, "labels").select(F.col("doc_id").alias("chapter_key"), "toxic"), "chapter_key").withColumn("source", F.expr("CASE WHEN toxic = 1 THEN 'other' ELSE source END"))
+    return state.invalidated(docs, old, signature=("source", "lang")).select("chapter_key", "stale")
+
+
+def profile_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nations = _table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("type"), F.col("n_name").alias("pitch")).where("type < 20")
+    return state.with_profile(_table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("type")), nations)
+
+
+def ordered_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return state.ordered_text(_table(spark, sf_dir, "conversations"), ["conv_id"], "turn", "text", "\n\n")
+
+
+def synth_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = _source(spark, sf_dir, QUOTES).select("doc_id", F.col("t").alias("text"), T.plain_markup("t").alias("ssml"))
+    return synth.plan(chunks, " abcdefghijklmnopqrstuvwxyz.,").select("doc_id", "try_markup", "try_text", "try_allowed")
+
+
+def chunk_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("role").alias("type"), "text", F.lit(None).cast("string").alias("ssml"), F.expr("CASE WHEN turn = 0 THEN '-5%' ELSE '' END").alias("post_tone"))
+    return writers.parsed_files(turns, "conv_id", ["turn"])
+
+
+_QUERIES |= {
+    f.__name__: f
+    for f in (
+        fb2_chapters, fb2_written, pitch_factor, atempo_chain, tone_filter, playlist_manifest, tone_histogram, chapter_counts, resume_pending,
+        parts_to_make, cached_chunks, state_invalidation, profile_lookup, ordered_concat, synth_plan, chunk_files,
+    )
+}
+
+_LINES = _of(_sql_filled("string_split($T, chr(10))"), "text")
+_SQL |= {
+    "pitch_factor": "SELECT p_partkey, spec, CASE WHEN spec LIKE '%\\%' ESCAPE '\\' THEN round(1 + p_size / 100.0::DOUBLE, 9) WHEN spec LIKE '%hz' AND 200 - p_size * 8 > 0 THEN round((200 - p_size * 8) / 200.0::DOUBLE, 9) WHEN spec LIKE '%HZ' THEN round((200 + p_size) / 200.0::DOUBLE, 9) END AS factor FROM (SELECT p_partkey, p_size, CASE p_partkey % 4 WHEN 0 THEN p_size::VARCHAR || '%' WHEN 1 THEN ' -' || (p_size * 8)::VARCHAR || ' hz' WHEN 2 THEN '+' || p_size::VARCHAR || 'HZ' ELSE 'x' END AS spec FROM part)",
+    "atempo_chain": "WITH RECURSIVE r(p_partkey, idx, x, f) AS (SELECT p_partkey, 0, CASE WHEN x > 2 THEN x / 2 WHEN x < 0.5 THEN x / 0.5 END, CASE WHEN x > 2 THEN 2.0 WHEN x < 0.5 THEN 0.5 ELSE x END FROM (SELECT p_partkey, p_size / 7.3::DOUBLE AS x FROM part) UNION ALL SELECT p_partkey, idx + 1, CASE WHEN x > 2 THEN x / 2 WHEN x < 0.5 THEN x / 0.5 END, CASE WHEN x > 2 THEN 2.0 WHEN x < 0.5 THEN 0.5 ELSE x END FROM r WHERE x IS NOT NULL) SELECT p_partkey, CAST(idx AS INTEGER) AS idx, round(f, 9) AS factor FROM r",
+    "playlist_manifest": f"SELECT doc_id, array_to_string(list_transform(range(1, len(p) + 1), lambda i: 'file ' || chr(39) || format('part_{{:05d}}.wav', i) || chr(39)), chr(10) || 'file ' || chr(39) || 'silence.wav' || chr(39) || chr(10)) AS playlist FROM (SELECT doc_id, {_LINES} AS p FROM documents)",
+    "tone_histogram": "SELECT post_tone, count(*) AS n FROM (SELECT '-' || (length(text) % 5)::VARCHAR || '%' AS post_tone FROM documents WHERE lang <> 'en') GROUP BY 1",
+    "chapter_counts": "SELECT source, lang, count(*) AS n_chunks, CAST(sum(length(text)) AS BIGINT) AS n_chars, count(*) FILTER (WHERE lang <> 'en') AS n_toned FROM documents GROUP BY source, lang",
+    "resume_pending": "SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
+    "parts_to_make": "SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1 OR toxic = 1)",
+    "cached_chunks": f"SELECT d.doc_id, l.doc_id IS NOT NULL AS from_cache, CASE WHEN l.doc_id IS NOT NULL THEN 'kept' ELSE array_to_string({_LINES}, '|') END AS chunks FROM documents d LEFT JOIN (SELECT doc_id FROM labels WHERE toxic <> 1 AND quality = 1) l ON d.doc_id = l.doc_id",
+    "state_invalidation": "SELECT d.doc_id AS chapter_key, coalesce(l.toxic = 1 AND d.source <> 'other', false) AS stale FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id",
+    "profile_lookup": "SELECT c_nationkey AS type, c_custkey, n_name AS pitch, n_name IS NOT NULL AS known FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey AND n_nationkey < 20",
+    "ordered_concat": "SELECT conv_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id",
+    "fb2_chapters": "SELECT page_id, CAST(1 AS BIGINT) AS chapter_idx, url AS title, regexp_replace(regexp_replace(regexp_replace(html, '[\\x00-\\x08\\x0b-\\x1f]', '', 'g'), '^[\\s\\p{Z}]+', ''), '[\\s\\p{Z}]+$', '') AS text, CAST(NULL AS VARCHAR) AS error FROM pages",
+}
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
