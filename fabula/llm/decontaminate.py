@@ -200,6 +200,25 @@ class Index:
             yield doc, item, d
 
 
+def _blocks(benchmark: DataFrame) -> list:
+    """The items as broadcasts of bounded size: lists of (item_id, text)."""
+    spark = benchmark.sparkSession
+    items = keep_columns(benchmark, "item_id", "text").where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
+    size = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    blocks = max(1, -(-size // BLOCK_CHARS))
+    parts = (items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k) for k in range(blocks))
+    return [spark.sparkContext.broadcast([(r.item_id, r.text) for r in p.toLocalIterator()]) for p in parts]
+
+
+def _found(index: Index, texts: pa.Array, percent: int) -> Iterator[tuple[int, int, int]]:
+    """(row, item position, distance) of a column of texts."""
+    offsets, raw = K.string_column(texts)
+    for i, j in K.slices(offsets):
+        data, rows = fold(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+        for doc, item, d in index.leaks(data, rows, percent):
+            yield i + doc, item, d
+
+
 def leaks(documents: DataFrame, benchmark: DataFrame, percent: int = EDIT_PERCENT) -> DataFrame:
     """Leaks of benchmark items: doc_id, item_id, distance, item_chars, one row for each row and item found in it.
 
@@ -209,39 +228,37 @@ def leaks(documents: DataFrame, benchmark: DataFrame, percent: int = EDIT_PERCEN
     An empty table gives no rows.  Items are read in blocks of bounded size, one
     pass over the documents for each block, and nothing is shuffled.
     """
-    spark = documents.sparkSession
-    ship(spark)
-    items = keep_columns(benchmark, "item_id", "text").where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
-    size = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    blocks = max(1, -(-size // BLOCK_CHARS))
+    ship(documents.sparkSession)
     docs = keep_columns(documents, "doc_id", "text")
     kind = dict(docs.dtypes)["doc_id"]
-    fields = ["doc_id", "item_id", "distance", "item_chars"]
-
-    def one(block: int) -> DataFrame:
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
-        held = spark.sparkContext.broadcast([(r.item_id, r.text) for r in rows.toLocalIterator()])
 
+    def one(held) -> DataFrame:
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = Index(held.value)
             for batch in batches:
-                offsets, raw = K.string_column(batch.column("text"))
-                at, ids, far, long = [], [], [], []
-                for i, j in K.slices(offsets):
-                    data, rows_ = fold(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                    for doc, item, d in index.leaks(data, rows_, percent):
-                        at.append(i + doc)
-                        ids.append(index.items[item][0])
-                        far.append(d)
-                        long.append(len(index.items[item][1]))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(at, pa.int64())), pa.array(ids, pa.int64()), pa.array(far, pa.int32()), pa.array(long, pa.int32())], fields)
+                found = list(_found(index, batch.column("text"), percent))
+                at, ids, far, long = (list(x) for x in zip(*((r, *index.items[k][:1], d, len(index.items[k][1])) for r, k, d in found))) if found else ([], [], [], [])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").take(pa.array(at, pa.int64())), pa.array(ids, pa.int64()), pa.array(far, pa.int32()), pa.array(long, pa.int32())], ["doc_id", "item_id", "distance", "item_chars"]
+                )
 
         return docs.mapInArrow(scan, f"doc_id {kind}, item_id long, distance int, item_chars int")
 
-    return reduce(DataFrame.unionByName, [one(k) for k in range(blocks)])
+    return reduce(DataFrame.unionByName, [one(held) for held in _blocks(benchmark)])
 
 
 def decontaminated(documents: DataFrame, benchmark: DataFrame, percent: int = EDIT_PERCENT) -> DataFrame:
-    """The rows of ``documents`` without a leak, with all their columns; rows without doc_id stay."""
-    found = leaks(documents, benchmark, percent).select(F.col("doc_id").alias("__leak")).distinct()
-    return documents.join(found, documents["doc_id"] == found["__leak"], "left_anti")
+    """The rows of ``documents`` without a leak, with all their columns."""
+    ship(documents.sparkSession)
+
+    def without(rows: DataFrame, held) -> DataFrame:
+        def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            index = Index(held.value)
+            for batch in batches:
+                clean = np.ones(batch.num_rows, bool)
+                clean[[r for r, _, _ in _found(index, batch.column("text"), percent)]] = False
+                yield batch.filter(pa.array(clean))
+
+        return rows.mapInArrow(keep, rows.schema)
+
+    return reduce(without, _blocks(benchmark), documents)

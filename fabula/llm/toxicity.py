@@ -160,6 +160,16 @@ def train(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tu
     return fit(taken, prior=(size.positive or 0) / max(size.n, 1))
 
 
+def _scores(texts: pa.Array, weights: np.ndarray, bias: float) -> np.ndarray:
+    offsets, data = K.string_column(texts)
+    out = np.empty(len(texts))
+    for i, j in K.slices(offsets):
+        part = data[offsets[i] : offsets[j]]
+        logits, row, _ = _sentence_logits(part, offsets[i : j + 1] - offsets[i], weights, bias)
+        out[i:j] = noisy_or(logits, row, j - i, bias)
+    return out
+
+
 def score(documents: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
     """``doc_id`` and ``score`` of every row, from whole texts; a null text counts as empty.
 
@@ -170,20 +180,26 @@ def score(documents: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
     held = spark.sparkContext.broadcast(model)
 
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, bias = held.value
         for batch in batches:
-            offsets, data = K.string_column(batch.column("text"))
-            out = np.empty(batch.num_rows)
-            for i, j in K.slices(offsets):
-                part = data[offsets[i] : offsets[j]]
-                logits, row, _ = _sentence_logits(part, offsets[i : j + 1] - offsets[i], weights, bias)
-                out[i:j] = noisy_or(logits, row, j - i, bias)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out)], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(_scores(batch.column("text"), *held.value))], ["doc_id", "score"])
 
     kind = dict(documents.dtypes)["doc_id"]
     return keep_columns(documents, "doc_id", "text").mapInArrow(scores, f"doc_id {kind}, score double")
 
 
+def without_toxic(documents: DataFrame, model: tuple[np.ndarray, float], threshold: float = 0.5) -> DataFrame:
+    """The rows of ``documents`` that score below the threshold, with all their columns; nothing is shuffled."""
+    spark = documents.sparkSession
+    ship(spark)
+    held = spark.sparkContext.broadcast(model)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_scores(batch.column("text"), *held.value) < threshold))
+
+    return documents.mapInArrow(keep, documents.schema)
+
+
 def offending_sentences(documents: DataFrame, model: tuple[np.ndarray, float], threshold: float = 0.5) -> DataFrame:
     """Sentences whose own probability reaches the threshold: doc_id, sentence, score."""
     spark = documents.sparkSession
