@@ -9,7 +9,8 @@
    row's candidates are its next neighbours in the order, those of the longest
    common prefix.  How deep that prefix is follows the density of the region: a
    sparse region compares rows that share two values, a dense one rows that
-   share eight.  A 128-bit sketch of the signature drops candidates whose
+   share eight.  In each order a row is linked to the most alike of them, so
+   large groups hang together by many orders without all their pairs.  A 128-bit sketch of the signature drops candidates whose
    similarity is plainly below the threshold.
 3. Candidate links are confirmed on the full sets, in rounds: first a few links
    of each document, then the links that still join different components, with
@@ -34,13 +35,18 @@ DEPTH = 4
 VALUES = TREES * DEPTH
 #: Neighbours in each order that a row is compared with.
 REACH = 12
+#: Links to the most alike of them that go on.
+BEST = 2
 #: Least values that neighbours have in common at the start of an order.
 LEAST_PREFIX = 2
 #: Sketch fields (of 64, two bits each) that a candidate must share.  A pair of
 #: similarity 0.8 shares 54 on average, fewer than 40 about once in a million.
 LEAST_SHARED = 40
 #: Links of a document tested in each round; the last round tests all.
-ROUNDS = (2, 6, 24, None)
+ROUNDS = (4, None)
+
+#: Up to so many ids (8 bytes each) of documents with candidates are broadcast to where texts are read; more are joined.
+BROADCAST_IDS = 2_000_000
 
 _A = (K.mix(np.arange(1, VALUES + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _B = (K.mix(np.arange(1001, 1001 + VALUES, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
@@ -118,42 +124,48 @@ def candidates(reps: DataFrame, parts: int) -> DataFrame:
     names = ["tree", "k1", "k2", "doc_id", "s1", "s2"]
     ordered = rows.repartitionByRange(parts, "tree", "k1", "k2", "doc_id").sortWithinPartitions("tree", "k1", "k2", "doc_id")
 
-    def pairs(cols: list[np.ndarray], fresh: int) -> tuple[np.ndarray, ...]:
-        """Links of neighbours of which the second is at position ``fresh`` or later."""
+    def pairs(cols: list[np.ndarray], upto: int) -> tuple[np.ndarray, ...]:
+        """Of each of the first ``upto`` rows, the links to the BEST most alike of its next REACH rows."""
         tree, k1, k2, ids, s1, s2 = cols
-        out = []
         n = len(ids)
+        shared = np.full((REACH + 1, upto), -1, np.int64)
         for step in range(1, min(REACH, n - 1) + 1):
-            lo = max(0, fresh - step)
-            x, y = slice(lo, n - step), slice(lo + step, n)
-            good = tree[x] == tree[y]
-            good &= shared_fields(s1[x], s1[y]) + shared_fields(s2[x], s2[y]) >= LEAST_SHARED
-            good &= _common_values(k1[x], k1[y], k2[x], k2[y]) >= LEAST_PREFIX
-            at = np.flatnonzero(good) + lo
-            if len(at):
-                a, b = ids[at], ids[at + step]
-                s = shared_fields(s1[at], s1[at + step]) + shared_fields(s2[at], s2[at + step])
-                out.append((np.minimum(a, b), np.maximum(a, b), s))
-        return tuple(np.concatenate(x) for x in zip(*out)) if out else tuple(np.zeros(0, np.int64) for _ in range(3))
+            m = min(upto, n - step)
+            x, y = slice(0, m), slice(step, m + step)
+            fields = shared_fields(s1[x], s1[y]) + shared_fields(s2[x], s2[y])
+            good = (tree[x] == tree[y]) & (fields >= LEAST_SHARED) & (_common_values(k1[x], k1[y], k2[x], k2[y]) >= LEAST_PREFIX)
+            shared[step, :m] = np.where(good, fields, -1)
+        out = []
+        at = np.arange(upto)
+        for _ in range(BEST):
+            step = shared.argmax(axis=0)
+            value = shared[step, at]
+            shared[step, at] = -1
+            hit = np.flatnonzero(value >= 0)
+            a, b = ids[hit], ids[hit + step[hit]]
+            out.append((np.minimum(a, b), np.maximum(a, b), value[hit]))
+        return tuple(np.concatenate(x) for x in zip(*out))
 
     def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Links within the partition; and its first and last rows, for the links across its edges."""
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        tail, head, seen = None, None, 0
+        rest, head, seen = None, None, 0
         for batch in batches:
             cols = [np.asarray(batch.column(c)) for c in names]
             if not len(cols[0]):
                 continue
-            joined = cols if tail is None else [np.concatenate(x) for x in zip(tail, cols)]
-            fresh = 0 if tail is None else len(tail[0])
-            a, b, s = pairs(joined, fresh)
-            yield _edge_batch(a, b, s)
             if seen < REACH:
                 head = [x[: REACH - seen] for x in cols] if head is None else [np.concatenate([h, x[: REACH - seen]]) for h, x in zip(head, cols)]
             seen += len(cols[0])
-            tail = [x[-REACH:] for x in joined]
+            rest = cols if rest is None else [np.concatenate(x) for x in zip(rest, cols)]
+            upto = max(0, len(rest[0]) - REACH)
+            yield _edge_batch(*pairs(rest, upto))
+            rest = [x[upto:] for x in rest]
+        if seen:
+            yield _edge_batch(*pairs(rest, len(rest[0])))
+            tail = [x[-REACH:] for x in rest]
         if seen:
             for side, rows_ in ((0, head), (1, tail)):
                 m = len(rows_[0])
@@ -180,7 +192,7 @@ def _across(found: DataFrame, pairs) -> DataFrame:
         if got:
             cols = [np.concatenate([np.asarray(b.column(c)) for b in got]) for c in names]
             order = np.lexsort((cols[3], cols[2], cols[1], cols[0]))
-            a, b, s = pairs([c[order] for c in cols], 0)
+            a, b, s = pairs([c[order] for c in cols], len(order))
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(s)], ["a", "b", "shared"])
 
     return found.where("edge is not null").select(*names).coalesce(1).mapInArrow(over_edges, "a long, b long, shared long")
@@ -208,6 +220,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Dat
                 linked[i] = 100 * common >= percent * (len(x) + len(y) - common)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked)], ["a", "b", "linked"])
 
+    texts = texts.select("doc_id", "text")
     with_b = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
     return with_b.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b").mapInArrow(measure, "a long, b long, linked boolean")
 
@@ -234,7 +247,10 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80) ->
     open_links = scratch.write(links.groupBy("a", "b").agg(F.max("shared").alias("shared")), "links")
     scratch.drop(found)
     active = open_links.select(F.col("a").alias("doc_id")).unionByName(open_links.select(F.col("b").alias("doc_id"))).distinct()
-    texts = scratch.write(docs.join(active, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+    active = scratch.write(active, "active")
+    if active.count() <= BROADCAST_IDS:
+        active = F.broadcast(active)
+    texts = scratch.write(docs.join(active, "doc_id", "left_semi"), "texts")
     confirmed, component = None, None
     for most in ROUNDS:
         if open_links.isEmpty():
