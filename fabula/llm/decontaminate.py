@@ -8,7 +8,7 @@ the window: step t writes the character at the cursor and moves the cursor on
 if a random bit of (t, character) says so.  Strings at a small edit distance
 become strings at a small Hamming distance, so keys of a few sampled positions,
 drawn anew for each repeat, collide for them.  Window sizes follow the items'
-lengths (three classes).  Every collision is then verified: the item must be
+lengths (two classes), so that an item has several.  Every collision is then verified: the item must be
 within the allowed edit distance of a piece of the document.
 
 With the defaults (8 repeats of 10 positions, several anchors an item), copies
@@ -28,8 +28,8 @@ from pyspark.sql import DataFrame, functions as F
 from fabula.llm import kernels as K
 from fabula.llm.runtime import keep_columns, ship
 
-#: Steps of the walk in each class of windows; a walk takes about half a character a step.
-STEPS = (24, 64, 128)
+#: Steps of the walk in each class of windows; a walk takes about half a byte a step.
+STEPS = (24, 64)
 REPEATS = 8
 SAMPLED = 10
 #: Items shorter than this after folding can't identify a leak and are left out.
@@ -39,10 +39,12 @@ EDIT_PERCENT = 10
 #: Items are broadcast in blocks of at most this many characters.
 BLOCK_CHARS = 8 << 20
 
-_COIN = (K.mix(np.arange(STEPS[-1] * 256, dtype=np.uint64)) & np.uint64(1)).astype(np.int64).reshape(STEPS[-1], 256)
+_COIN = (K.mix(np.arange(STEPS[-1] * 256, dtype=np.uint64)) & np.uint64(1)).astype(np.int32).reshape(STEPS[-1], 256)
 _DRAWN = {
     steps: [np.argsort(K.mix(np.arange(steps, dtype=np.uint64) + np.uint64(1000 * r + steps)))[:SAMPLED] for r in range(REPEATS)] for steps in STEPS
 }
+#: The part of a key that a byte at a sampled place adds.
+_PART = K.mix(np.arange(REPEATS * SAMPLED * 256, dtype=np.uint64) + np.uint64(1 << 40)).reshape(REPEATS, SAMPLED, 256)
 
 
 def fold(data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -74,16 +76,18 @@ def anchors(data: np.ndarray, rows: np.ndarray, run: int) -> tuple[np.ndarray, n
     return starts[chosen], row[chosen]
 
 
-def walk(data: np.ndarray, starts: np.ndarray, limits: np.ndarray) -> np.ndarray:
-    """The embedding [steps, windows] of the windows from ``starts``; 0 from each limit on."""
-    out = np.zeros((STEPS[-1], len(starts)), np.uint8)
-    cursor = starts.copy()
-    padded = np.append(data, np.uint8(0))
-    for t in range(STEPS[-1]):
-        c = padded[np.minimum(cursor, limits)]
-        c[cursor >= limits] = 0
-        out[t] = c
-        cursor += _COIN[t][c]
+def walk(data: np.ndarray, starts: np.ndarray, steps: int) -> np.ndarray:
+    """The embedding [steps, windows] of the windows from ``starts``.
+
+    A window that passes the end of its row goes on in the next one; no item
+    has such a window, so it can only fail to match.
+    """
+    out = np.empty((steps, len(starts)), np.uint8)
+    cursor = starts.astype(np.int32)
+    padded = np.concatenate([data, np.zeros(steps + 1, np.uint8)])
+    for t in range(steps):
+        np.take(padded, cursor, out=out[t])
+        cursor += np.take(_COIN[t], out[t])
     return out
 
 
@@ -91,10 +95,9 @@ def window_keys(embedded: np.ndarray, steps: int) -> Iterator[np.ndarray]:
     """A 64-bit key of each window for each repeat."""
     for r, drawn in enumerate(_DRAWN[steps]):
         key = np.full(embedded.shape[1], 31 * r + steps, np.uint64)
-        for t in drawn:
-            key = key * np.uint64(0x100000001B3) + embedded[t]
-            key ^= key >> np.uint64(29)
-        yield K.mix(key)
+        for i, t in enumerate(drawn):
+            key += np.take(_PART[r, i], embedded[t])
+        yield key
 
 
 def edit_distance_within(pattern: str, text: str, most: int) -> int | None:
@@ -144,13 +147,17 @@ class Index:
         rows = np.concatenate([[0], np.cumsum([len(x) for x in joined])]).astype(np.int64)
         data = np.frombuffer(b"".join(joined), np.uint8)
         starts, row = anchors(data, rows, self.run) if len(data) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        room = rows[row + 1] - starts
-        embedded = walk(data, starts, rows[row + 1])
+        # a window takes at most about half an item, so an item has windows in several places
+        size = np.diff(rows)
+        long = (size[row] * 0.8 >= STEPS[-1]) & (rows[row + 1] - starts >= STEPS[-1] * 0.7)
+        short = (size[row] * 0.8 < STEPS[-1]) & (rows[row + 1] - starts >= STEPS[0] * 0.6)
         keys, owner, offset = [], [], []
-        for k, steps in enumerate(STEPS):
-            longer = STEPS[k + 1] if k + 1 < len(STEPS) else 1 << 60
-            fits = (room * 1.6 >= steps) & (room * 1.6 < longer)
-            for key in window_keys(embedded[:, fits], steps):
+        self.steps = []
+        for steps, fits in zip(STEPS, (short, long)):
+            if not fits.any():
+                continue
+            self.steps.append(steps)
+            for key in window_keys(walk(data, starts[fits], steps), steps):
                 keys.append(key)
                 owner.append(row[fits])
                 offset.append((starts - rows[row])[fits])
@@ -166,10 +173,10 @@ class Index:
         if not len(starts) or not len(self.keys):
             return
         hits = []
-        for lo in range(0, len(starts), 1 << 16):
-            s, r = starts[lo : lo + (1 << 16)], row[lo : lo + (1 << 16)]
-            embedded = walk(data, s, rows[r + 1])
-            for steps in STEPS:
+        for lo in range(0, len(starts), 1 << 13):
+            s, r = starts[lo : lo + (1 << 13)], row[lo : lo + (1 << 13)]
+            embedded = walk(data, s, self.steps[-1])
+            for steps in self.steps:
                 for key in window_keys(embedded, steps):
                     at = np.flatnonzero(self.seen[(key >> np.uint64(42)).astype(np.int64)])
                     first = np.searchsorted(self.keys, key[at], "left")
