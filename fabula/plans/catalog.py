@@ -378,6 +378,42 @@ _SQL |= {
     "fb2_chapters": "SELECT page_id, CAST(1 AS BIGINT) AS chapter_idx, url AS title, regexp_replace(regexp_replace(regexp_replace(html, '[\\x00-\\x08\\x0b-\\x1f]', '', 'g'), '^[\\s\\p{Z}]+', ''), '[\\s\\p{Z}]+$', '') AS text, CAST(NULL AS VARCHAR) AS error FROM pages",
 }
 
+_MARKER = rf"{WS}+((?:Том{WS}+\p{{Nd}}+{WS}+)?Глава{WS}+\p{{Nd}}+{WS}*[-–—:]{WS}*[^\n]{{1,120}})"
+_ISOLATED = rf"regexp_replace(regexp_replace(regexp_replace($T, '{_MARKER}', chr(10) || chr(10) || '\1' || chr(2) || chr(10) || chr(10), 'g'), '{WS}*\x02', '', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g')"
+_PLAIN = r"string_split(regexp_replace($T, '\n{3,}', chr(10) || chr(10), 'g'), chr(10) || chr(10))"
+_UNESCAPED = r"replace(replace(replace($T, '\r\n', chr(10)), '\n', chr(10)), '\r', chr(10))"
+_UNWRAPPED = _of(STRIP, "regexp_replace(ltrim($T, '\ufeff'), '^`', '')")
+
+
+def _sql_listed(parts: str, rewriting: str) -> str:
+    return f"SELECT doc_id, CAST(i - 1 AS INTEGER) AS idx, parts[i] AS value FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT doc_id, {parts.replace('$T', 't')} AS parts FROM {_from(rewriting)}))"
+
+
+def _sql_neighbors(units: str, most: int) -> str:
+    step = f"CASE WHEN length({_JOIN}) <= {most} THEN {{'d': s.d, 'o': {_JOIN}}} ELSE {{'d': {_CLOSE}, 'o': x.o}} END"
+    folded = f"list_reduce(list_transform({units}, lambda w: {{'d': CAST([] AS VARCHAR[]), 'o': w}}), lambda s, x: {step}, {{'d': CAST([] AS VARCHAR[]), 'o': ''}})"
+    return f"list_transform([{folded}], lambda s: {_CLOSE})[1]"
+
+
+_SQL |= {
+    "isolate_headings": f"SELECT doc_id, {_of(_ISOLATED, 't')} AS value FROM {_from(GLUED)}",
+    "escaped_paragraphs": _sql_listed(_sql_filled(_of(_PLAIN, _of(_ISOLATED, _of(_UNESCAPED, _UNWRAPPED)))), ESCAPED),
+    "normalize_text": rf"SELECT doc_id, regexp_replace({_sql_commas('t', ('the', 'der', 'le'))}, '\?!|!\?', '?', 'g') AS value FROM {_from(COMMAS)}",
+    "pack_neighbors": _sql_listed(_sql_neighbors(_sql_filled("string_split($T, chr(10))"), 400), TEXT),
+    "chunk_files": (
+        "SELECT conv_id, '[' || chr(10) || string_agg('  {\"type\":' || to_json(role) || ',\"text\":' || to_json(text) || CASE WHEN turn = 0 THEN ',\"post_tone\":\"-5%\"' ELSE '' END || '}', ',' || chr(10) ORDER BY turn) || chr(10) || ']' AS json, "
+        "string_agg('[' || role || ']: ' || text, chr(10) ORDER BY turn) || chr(10) AS lines FROM conversations GROUP BY conv_id"
+    ),
+    "tone_filter": (
+        "SELECT p_partkey, format('asetrate=48000*{:.9f},aresample=48000,atempo={:.6f}', 1 + p_size / 100.0::DOUBLE, 1 / (1 + p_size / 100.0::DOUBLE)) AS filter FROM part"
+    ),
+    "synth_plan": (
+        f"SELECT doc_id, CASE WHEN c <> '' AND c = s THEN '<speak><p>' || {_of(_ESCAPE, 't')} || '</p></speak>' END AS try_markup, nullif(c, '') AS try_text, CASE WHEN c <> '' AND a <> '' AND a <> c THEN a END AS try_allowed "
+        f"FROM (SELECT *, {_of(COMPACT, chr(114) + 'egexp_replace(lower(c), ' + chr(39) + '[^ a-z.,]' + chr(39) + ', ' + chr(39) * 2 + ', ' + chr(39) + 'g' + chr(39) + ')')} AS a "
+        f"FROM (SELECT doc_id, t, {_of(STRIP, 't')} AS s, replace({_of(COMPACT, 't')}, chr(34), '') AS c FROM {_from(QUOTES)}))"
+    ),
+}
+
 
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
