@@ -21,12 +21,11 @@ distance is verified on the texts.
 
 from __future__ import annotations
 
-import gc
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from fabula.llm.runtime import Scratch, keep_columns
+from fabula.llm.runtime import Scratch, forget, keep_columns
 
 #: Shorter lines are only removed if they are equal to an earlier one.
 LEAST_CHARS = 16
@@ -115,8 +114,7 @@ def removed_lines(documents: DataFrame, scratch: Scratch) -> DataFrame:
     wanted = halves.groupBy("at").agg(F.collect_set(F.struct("m", "side", "key")).alias("halves"))
     held = scratch.write(lines.select(position.alias("at"), "line").join(wanted, "at").dropDuplicates(["at"]), "held")
     scratch.drop(halves)
-    gc.collect()
-    documents.sparkSession._jvm.System.gc()
+    forget(documents.sparkSession)
     each = held.select("at", F.length("line").alias("size"), "line", F.explode("halves").alias("h"))
     blocks = each.select("at", "size", F.col("h.m").alias("m"), F.inline(_blocks(F.col("line"), F.col("h.m"), F.col("h.side"), F.col("h.key"))))
     blocks = scratch.write(_shared(blocks), "blocks")
@@ -146,8 +144,7 @@ def without_repeated_lines(documents: DataFrame) -> DataFrame:
     docs = keep_columns(documents, "doc_id", "text")
     gone = removed_lines(docs, scratch).groupBy("doc_id").agg(F.collect_set("line_no").alias("gone"))
     gone = scratch.write(gone, "gone")
-    gc.collect()
-    documents.sparkSession._jvm.System.gc()
+    forget(documents.sparkSession)
     lines = F.split("text", "\n")
     dropped = F.map_from_arrays(F.col("gone"), F.col("gone"))
     left = F.when(F.col("gone").isNull(), F.col("text")).otherwise(

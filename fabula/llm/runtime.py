@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import io
 import os
 import tempfile
+import time
 import uuid
 import zipfile
 from pathlib import Path
@@ -74,6 +76,18 @@ class Scratch:
             p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def forget(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of steps that nothing refers to any more.
+
+    Spark removes them when the driver collects its garbage, which an idle
+    driver puts off; between the steps of a long operator they would add up.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.4)
+
+
 def plan_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of the bytes of ``df``, from file sizes; runs no job."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -20,19 +20,18 @@ minimiser).  Equal strings have equal anchors.  The steps:
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from fabula.llm import kernels as K
-from fabula.llm.runtime import Scratch, keep_columns, plan_bytes, shuffle_parts, ship
+from fabula.llm.runtime import Scratch, forget, keep_columns, plan_bytes, shuffle_parts, ship
 
 LENGTH = 50
-GRAM = 24
+GRAM = 16
 #: Anchors that a task gathers before it passes them on.
 FLUSH = 400_000
 #: Aims for the size of groups: anchors, bytes of documents (as stored), bytes of pieces.
@@ -206,12 +205,6 @@ def _odd(n: int) -> int:
     return n
 
 
-def _forget(spark: SparkSession) -> None:
-    """Lets Spark remove the shuffle files of finished steps."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def removed_runs(docs: DataFrame, scratch: Scratch, length: int, groups: int) -> DataFrame:
     """Removed runs by group of documents: g, docs, starts, ends (binary arrays of longs)."""
     spark = docs.sparkSession
@@ -266,9 +259,8 @@ def removed_runs(docs: DataFrame, scratch: Scratch, length: int, groups: int) ->
             size_.append(len(at))
         return pa.table({"g": pa.array(g, pa.int32()), "docs": pa.array(docs_, pa.binary()), "keys": pa.array(keys, pa.binary()), "n": pa.array(size_, pa.int64())})
 
-    anchors = docs.mapInArrow(hashes, "bucket int, docs binary, lows binary").groupBy("bucket").applyInArrow(shared, "g int, docs binary, keys binary, n long")
-    anchors = scratch.write(anchors, "anchors")
-    _forget(spark)
+    anchors = scratch.write(docs.mapInArrow(hashes, "bucket int, docs binary, lows binary").groupBy("bucket").applyInArrow(shared, "g int, docs binary, keys binary, n long"), "anchors")
+    forget(spark)
     total = anchors.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     buckets = max(1, total * (length + 16) // GROUP_PIECES)
 
@@ -298,7 +290,7 @@ def removed_runs(docs: DataFrame, scratch: Scratch, length: int, groups: int) ->
                     own: dict[bytes, int] = {}
                     which = [own.setdefault(strings[i], len(own)) for i in at.tolist()]
                     out["bucket"].append(bucket)
-                    out["text"].append(b"".join(own))
+                    out["text"].append(pa.compress(b"".join(own), codec="zstd", asbytes=True))
                     out["sizes"].append(np.array([len(x) for x in own], np.int32).tobytes())
                     out["which"].append(np.array(which, np.int32).tobytes())
                     out["docs"].append(d[at].tobytes())
@@ -310,6 +302,7 @@ def removed_runs(docs: DataFrame, scratch: Scratch, length: int, groups: int) ->
         which, docs_, starts = [], [], []
         for text, sizes, w, d, s in zip(*(table.column(c).to_pylist() for c in ("text", "sizes", "which", "docs", "starts"))):
             ends = np.cumsum(np.frombuffer(sizes, np.int32)).tolist()
+            text = pa.decompress(text, decompressed_size=ends[-1], codec="zstd", asbytes=True)
             index = np.array([own.setdefault(text[a:b], len(own)) for a, b in zip([0, *ends], ends)])
             which.append(index[np.frombuffer(w, np.int32)])
             docs_.append(np.frombuffer(d, np.int64))
@@ -346,10 +339,13 @@ def removed_runs(docs: DataFrame, scratch: Scratch, length: int, groups: int) ->
                 x.append(y[pos].tobytes())
         return pa.table([pa.array(g, pa.int32()), *(pa.array(x, pa.binary()) for x in out)], names=["g", "docs", "starts", "ends"])
 
-    sent = docs.groupBy("g").cogroup(anchors.groupBy("g")).applyInArrow(pieces, "bucket long, text binary, sizes binary, which binary, docs binary, starts binary")
-    runs = scratch.write(sent.groupBy("bucket").applyInArrow(decide, "g int, docs binary, starts binary, ends binary"), "runs")
+    # no name is kept for what was written, so that its shuffle files can go
+    runs = scratch.write(
+        docs.groupBy("g").cogroup(anchors.groupBy("g")).applyInArrow(pieces, "bucket long, text binary, sizes binary, which binary, docs binary, starts binary")
+        .groupBy("bucket").applyInArrow(decide, "g int, docs binary, starts binary, ends binary"), "runs"
+    )
     scratch.drop(anchors)
-    _forget(spark)
+    forget(spark)
     return runs
 
 
