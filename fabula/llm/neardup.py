@@ -10,8 +10,9 @@
    common prefix.  How deep that prefix is follows the density of the region: a
    sparse region compares rows that share two values, a dense one rows that
    share eight.  In each order a row is linked to the most alike of them, so
-   large groups hang together by many orders without all their pairs.  A 128-bit sketch of the signature drops candidates whose
-   similarity is plainly below the threshold.
+   large groups hang together by many orders without all their pairs.  A
+   128-bit sketch of the signature drops candidates whose similarity is plainly
+   below the threshold.
 3. Candidate links are confirmed on the full sets, in rounds: first a few links
    of each document, then the links that still join different components, with
    more links a document in each round, until none is left untested.  So every
@@ -116,8 +117,9 @@ def _common_values(a1: np.ndarray, b1: np.ndarray, a2: np.ndarray, b2: np.ndarra
     return np.where(first == DEPTH, DEPTH + lead(a2 ^ b2), first)
 
 
-def candidates(reps: DataFrame, parts: int) -> DataFrame:
-    """Links a < b with the number of shared sketch fields, from all orders; repeats possible."""
+def candidates(reps: DataFrame, parts: int):
+    """Links a < b with the number of shared sketch fields, from all orders (repeats possible), with the rows at
+    the edges of partitions (edge not null); and the function that links the latter."""
     rows = reps.select("doc_id", "s1", "s2", "keys", F.posexplode("keys").alias("tree", "k1")).select(
         F.col("tree").cast("int").alias("tree"), "k1", F.element_at("keys", F.pmod(F.col("tree") + 1, F.lit(TREES)).cast("int") + 1).alias("k2"), "doc_id", "s1", "s2"
     )
