@@ -25,11 +25,15 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from fabula.llm.runtime import Scratch, forget, keep_columns
+from fabula.llm.runtime import Scratch, broadcast_if_small, forget, keep_columns
 
 #: Shorter lines are only removed if they are equal to an earlier one.
 LEAST_CHARS = 16
 BLOCK = 16
+#: Positions of lines to read again (16 bytes each) and the numbers of removed lines (4 bytes each, and 32 for each
+#: document) are broadcast up to these counts; more are joined by a shuffle.
+BROADCAST_LINES = 2_000_000
+BROADCAST_GONE = 4_000_000
 _BLANK = " \t\r\f\x0b"
 
 
@@ -111,8 +115,10 @@ def removed_lines(documents: DataFrame, scratch: Scratch) -> DataFrame:
     halves = texts.where("halves is not null").select("at", "size", F.inline("halves"))
     halves = scratch.write(_shared(halves), "halves")
     # only lines of shared halves are read again
-    wanted = halves.groupBy("at").agg(F.collect_set(F.struct("m", "side", "key")).alias("halves"))
-    held = scratch.write(lines.select(position.alias("at"), "line").join(wanted, "at").dropDuplicates(["at"]), "held")
+    wanted = scratch.write(halves.groupBy("at").agg(F.collect_set(F.struct("m", "side", "key")).alias("halves")), "wanted")
+    named = broadcast_if_small(wanted.select("at"), BROADCAST_LINES)
+    found = scratch.write(lines.select(position.alias("at"), "line").join(named, "at", "left_semi").dropDuplicates(["at"]), "found")
+    held = scratch.write(found.join(wanted, "at"), "held")
     scratch.drop(halves)
     forget(documents.sparkSession)
     each = held.select("at", F.length("line").alias("size"), "line", F.explode("halves").alias("h"))
@@ -150,7 +156,8 @@ def without_repeated_lines(documents: DataFrame) -> DataFrame:
     left = F.when(F.col("gone").isNull(), F.col("text")).otherwise(
         F.array_join(F.filter(F.transform(lines, lambda x, i: F.when(~F.map_contains_key(F.col("dropped"), i), x)), lambda x: x.isNotNull()), "\n")
     )
-    both = docs.join(gone, "doc_id", "left").withColumn("dropped", dropped)
+    held = gone.agg(F.coalesce(F.sum(F.size("gone") + 8), F.lit(0))).first()[0]
+    both = docs.join(F.broadcast(gone) if held <= BROADCAST_GONE else gone, "doc_id", "left").withColumn("dropped", dropped)
     return both.select(
         "doc_id", left.alias("text"), F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
         F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"),

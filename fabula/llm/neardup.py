@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from fabula.llm import kernels as K
 from fabula.llm.components import connected_components
-from fabula.llm.runtime import Scratch, keep_columns, shuffle_parts, ship
+from fabula.llm.runtime import Scratch, broadcast_if_small, keep_columns, shuffle_parts, ship
 
 TREES = 16
 DEPTH = 4
@@ -249,9 +249,7 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80) ->
     open_links = scratch.write(links.groupBy("a", "b").agg(F.max("shared").alias("shared")), "links")
     scratch.drop(found)
     active = open_links.select(F.col("a").alias("doc_id")).unionByName(open_links.select(F.col("b").alias("doc_id"))).distinct()
-    active = scratch.write(active, "active")
-    if active.count() <= BROADCAST_IDS:
-        active = F.broadcast(active)
+    active = broadcast_if_small(scratch.write(active, "active"), BROADCAST_IDS)
     texts = scratch.write(docs.join(active, "doc_id", "left_semi"), "texts")
     confirmed, component = None, None
     for most in ROUNDS:

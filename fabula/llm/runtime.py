@@ -11,7 +11,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 _SHIPPED: set[str] = set()
 
@@ -76,6 +76,11 @@ class Scratch:
             p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def broadcast_if_small(table: DataFrame, rows: int) -> DataFrame:
+    """A written table with the hint to broadcast it if it has at most ``rows`` rows; larger ones are joined by a shuffle."""
+    return F.broadcast(table) if table.count() <= rows else table
+
+
 def forget(spark: SparkSession) -> None:
     """Lets Spark remove the shuffle files of steps that nothing refers to any more.
 
