@@ -6,7 +6,7 @@ regular expressions of the JVM know only the ASCII part by ``\\s``.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, functions as F
 
@@ -24,6 +24,11 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def strip(t: Column | str) -> Column:
     """Without white space at either end."""
     return F.regexp_replace(_col(t), rf"^{WS}++|{WS}++\z", "")

@@ -42,8 +42,7 @@ def is_dialogue(paragraph: Column) -> Column:
 
 def is_remark(part: Column) -> Column:
     """Whether a part of a dialogue is the author's; with ``?`` or ``!`` in it only if it starts with the verb."""
-    t = F.lower(T.compact(part))
-    return F.when(t.rlike("[?!]"), t.rlike(_BARE)).otherwise(t.rlike(_LED))
+    return T.let(F.lower(T.compact(part)), lambda t: F.when(t.rlike("[?!]"), t.rlike(_BARE)).otherwise(t.rlike(_LED)))
 
 
 def _profile(profiles: dict, kind: Column, key: str) -> Column:
@@ -61,15 +60,15 @@ def _chunk(kind: Column, t: Column, profiles: dict) -> Column:
 
 
 def author_chunk(t: Column, profiles: dict = PROFILES) -> Column:
-    return _chunk(F.lit("author"), T.terminal(T.capitalize(T.compact(t))), profiles)
+    return T.let(T.compact(t), lambda c: T.let(T.capitalize(c), lambda d: T.let(T.terminal(d), lambda said: _chunk(F.lit("author"), said, profiles))))
 
 
 def speech_kinds(t: Column) -> Column:
     """The utterances of a run of speech: array of (kind, text), neighbours of one kind but questions merged."""
 
     def classified(s: Column) -> Column:
-        said = T.terminal(T.capitalize(s))
-        return F.struct(T.kind(said).alias("kind"), T.mark_question(said).alias("text"))
+        both = lambda said: F.struct(T.kind(said).alias("kind"), T.mark_question(said).alias("text"))
+        return T.let(T.capitalize(s), lambda d: T.let(T.terminal(d), both))
 
     def step(done: Column, x: Column) -> Column:
         last = F.try_element_at(done, F.lit(-1))
@@ -78,7 +77,7 @@ def speech_kinds(t: Column) -> Column:
         return F.when(same, F.array_append(F.slice(done, F.lit(1), F.size(done) - 1), merged)).otherwise(F.array_append(done, x))
 
     none = F.array().cast("array<struct<kind:string,text:string>>")
-    return F.aggregate(F.transform(sentences(T.terminal(T.compact(t))), classified), none, step)
+    return T.let(T.compact(t), lambda c: F.aggregate(F.transform(sentences(T.terminal(c)), classified), none, step))
 
 
 def speech_chunks(t: Column, profiles: dict = PROFILES) -> Column:
@@ -102,9 +101,11 @@ def runs(paragraph: Column) -> Column:
 
 def paragraph_chunks(paragraph: Column, profiles: dict = PROFILES) -> Column:
     """The chunks of a paragraph; a dash alone has none."""
-    p = T.compact(paragraph)
-    spoken = F.flatten(F.transform(runs(p), lambda r: F.when(r["remark"], F.array(author_chunk(r["text"], profiles))).otherwise(speech_chunks(r["text"], profiles))))
-    return F.when(is_dialogue(p), spoken).otherwise(F.array(author_chunk(p, profiles)))
+    def chunks(p: Column) -> Column:
+        spoken = F.flatten(F.transform(runs(p), lambda r: F.when(r["remark"], F.array(author_chunk(r["text"], profiles))).otherwise(speech_chunks(r["text"], profiles))))
+        return F.when(is_dialogue(p), spoken).otherwise(F.array(author_chunk(p, profiles)))
+
+    return T.let(T.compact(paragraph), chunks)
 
 
 def bounded(chunk: Column, most: int, profiles: dict = PROFILES) -> Column:
@@ -112,10 +113,11 @@ def bounded(chunk: Column, most: int, profiles: dict = PROFILES) -> Column:
 
     Pieces of speech are classified anew: a question cut within a sentence leaves lines.
     """
-    pieces = pack_sentences(chunk["text"], most)
-    again = F.when(chunk["type"] == "author", F.transform(pieces, lambda p: author_chunk(p, profiles))).otherwise(F.flatten(F.transform(pieces, lambda p: speech_chunks(p, profiles))))
-    fits = (F.length(chunk["text"]) <= most) | (F.size(pieces) <= 1)
-    return F.when(fits, F.array(chunk)).otherwise(again)
+    def cut(pieces: Column) -> Column:
+        again = F.when(chunk["type"] == "author", F.transform(pieces, lambda p: author_chunk(p, profiles))).otherwise(F.flatten(F.transform(pieces, lambda p: speech_chunks(p, profiles))))
+        return F.when(F.size(pieces) <= 1, F.array(chunk)).otherwise(again)
+
+    return F.when(F.length(chunk["text"]) <= most, F.array(chunk)).otherwise(T.let(pack_sentences(chunk["text"], most), cut))
 
 
 def parse_book(df: DataFrame, text: str = "text", most: int = MAX_CHARS, profiles: dict = PROFILES, spell_numbers: bool = True) -> DataFrame:
