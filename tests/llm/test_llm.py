@@ -397,3 +397,33 @@ def test_pipeline(spark):
     out = corpus_pipeline.run(spark, SF)
     assert {r.doc_id for r in out.select("doc_id").distinct().collect()} == {r.doc_id for r in kept.select("doc_id").collect()}
     assert out.count() == out.agg(F.countDistinct("slot")).first()[0]
+
+
+def tight_groups(pairs, size, width=64):
+    """Pairs of tight groups (0.998 within a group), linked with one another (0.962) and with no other pair."""
+    rng = np.random.default_rng(11)
+    out = []
+    for _ in range(pairs):
+        a, b = (x / np.linalg.norm(x) for x in rng.standard_normal((2, width)))
+        b = b - (b @ a) * a
+        b = 0.964 * a + np.sqrt(1 - 0.964**2) * b / np.linalg.norm(b)
+        for centre in (a, b):
+            for _ in range(size):
+                noise = rng.standard_normal(width)
+                noise -= (noise @ centre) * centre
+                out.append(centre * np.sqrt(0.999) + noise / np.linalg.norm(noise) * np.sqrt(0.001))
+    return np.stack(out)
+
+
+def assert_vectors_exact(spark, x):
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_duplicate_vectors(df).collect()}
+    linked = x @ x.T >= 0.95
+    np.fill_diagonal(linked, False)
+    comp = brute.components(list(range(len(x))), list(zip(*(z.tolist() for z in np.nonzero(linked)))))
+    assert got == {i: (int(n), comp[i]) for i, n in enumerate(linked.sum(1))}
+
+
+def test_vectors_of_tight_groups(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "EXACT_ROWS", 0, raising=False)
+    assert_vectors_exact(spark, tight_groups(50, 12))
