@@ -427,3 +427,32 @@ def assert_vectors_exact(spark, x):
 def test_vectors_of_tight_groups(spark, monkeypatch):
     monkeypatch.setattr(embeddings, "EXACT_ROWS", 0, raising=False)
     assert_vectors_exact(spark, tight_groups(50, 12))
+
+
+def lonely_pairs(rest, pairs, group, width=32):
+    """Vectors without links, isolated pairs (0.951) and one group of near copies."""
+    rng = np.random.default_rng(13)
+    x = rng.standard_normal((rest + pairs, width))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    y = rng.standard_normal((pairs, width))
+    y -= np.einsum("ij,ij->i", y, x[:pairs])[:, None] * x[:pairs]
+    twins = 0.951 * x[:pairs] + np.sqrt(1 - 0.951**2) * y / np.linalg.norm(y, axis=1)[:, None]
+    near = x[-1] + rng.standard_normal((group, width)) * 0.01
+    return np.concatenate([x, twins, near / np.linalg.norm(near, axis=1)[:, None]])
+
+
+@pytest.mark.parametrize("rows", [embeddings.EXACT_ROWS, 0])
+def test_vectors_of_lonely_pairs(spark, monkeypatch, rows):
+    """A large group must not hide isolated pairs that the search misses: with one weak start, none may be lost."""
+    monkeypatch.setattr(embeddings, "EXACT_ROWS", rows)
+    monkeypatch.setattr(embeddings, "ATTEMPTS", 1)
+    assert_vectors_exact(spark, lonely_pairs(4000, 300, 1500))
+
+
+def test_vectors_are_audited(spark):
+    """A group can't hide a pair outside the components; what the audit finds comes with it."""
+    x = np.concatenate([lonely_pairs(20, 40, 0), -lonely_pairs(0, 1, 1500)[2:]])
+    reps = spark.createDataFrame([(i, bytearray(v.tobytes()), 1) for i, v in enumerate(x)], "id long, vec binary, copies long")
+    group = spark.createDataFrame([(i, 100) for i in range(100, len(x))], "id long, component long")
+    recall, links = embeddings.audit(reps, group, Scratch(spark, "test"), 0.95, len(x))
+    assert recall < 0.99 and {r.a for r in links.collect()} == {*range(40), *range(60, 100)}
