@@ -17,6 +17,13 @@
    of each document, then the links that still join different components, with
    more links a document in each round, until none is left untested.  So every
    candidate is either confirmed, refuted, or lies inside a component.
+4. In a dense region a row has more rows with two common values than step 2
+   links it to.  So then the whole region, in every order, is gone through: all
+   its pairs that lie in different components and clear the sketch are
+   candidates too, and are confirmed in the same rounds.  Only pairs inside a
+   confirmed component are passed over, so groups of near copies cost nothing
+   here; documents that are alike just below the threshold are compared each with
+   each.
 """
 
 from __future__ import annotations
@@ -25,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from fabula.llm import kernels as K
 from fabula.llm.components import connected_components
@@ -36,7 +43,7 @@ DEPTH = 4
 VALUES = TREES * DEPTH
 #: Neighbours in each order that a row is compared with.
 REACH = 12
-#: Links to the most alike of them that go on.
+#: Links to the most alike of them that go on at first; step 4 takes the others.
 BEST = 2
 #: Least values that neighbours have in common at the start of an order.
 LEAST_PREFIX = 2
@@ -200,6 +207,35 @@ def _across(found: DataFrame, pairs) -> DataFrame:
     return found.where("edge is not null").select(*names).coalesce(1).mapInArrow(over_edges, "a long, b long, shared long")
 
 
+def _shared_in_sql(x: str, y: str) -> Column:
+    """``shared_fields`` of two columns of sketch words."""
+    differ = F.col(x).bitwiseXOR(F.col(y))
+    return 32 - F.bit_count(differ.bitwiseOR(F.shiftrightunsigned(differ, 1)).bitwiseAND(F.lit(0x5555555555555555)))
+
+
+def dense_links(reps: DataFrame, component: DataFrame | None, scratch: Scratch) -> DataFrame:
+    """Links a < b, with the shared sketch fields, of all pairs in different components that have the first
+    LEAST_PREFIX values of an order in common and clear the sketch.
+
+    Members meet by the components of their region, so pairs within one are never made.
+    """
+    labelled = reps.withColumn("of", F.col("doc_id"))
+    if component is not None:
+        of = component.select(F.col("id").alias("doc_id"), F.col("component").alias("of"))
+        labelled = reps.join(of, "doc_id", "left").withColumn("of", F.coalesce("of", "doc_id"))
+    rows = labelled.select("doc_id", "of", "s1", "s2", F.posexplode("keys").alias("tree", "k1"))
+    region = ["tree", "prefix"]
+    rows = rows.select("tree", F.shiftrightunsigned("k1", 64 - 16 * LEAST_PREFIX).alias("prefix"), "doc_id", "of", "s1", "s2")
+    mixed = rows.groupBy(*region).agg(F.min("of").alias("low"), F.max("of").alias("high")).where("low <> high").select(*region)
+    rows = scratch.write(rows.join(mixed, region), "regions")
+    within = scratch.write(rows.select(*region, "of").distinct(), "within")
+    two = within.withColumnRenamed("of", "of_a").join(within.withColumnRenamed("of", "of_b"), region).where("of_a < of_b")
+    side = lambda i: rows.select(*region, *[F.col(c).alias(f"{n}_{i}") for c, n in (("of", "of"), ("doc_id", "id"), ("s1", "s1"), ("s2", "s2"))])
+    pairs = two.join(side("a"), [*region, "of_a"]).join(side("b"), [*region, "of_b"])
+    pairs = pairs.withColumn("shared", (_shared_in_sql("s1_a", "s1_b") + _shared_in_sql("s2_a", "s2_b")).cast("long")).where(F.col("shared") >= LEAST_SHARED)
+    return pairs.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"), "shared").distinct()
+
+
 def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """a, b and linked (100 * intersection >= percent * union) of each pair, on the full sets."""
 
@@ -227,31 +263,12 @@ def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Dat
     return with_b.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b").mapInArrow(measure, "a long, b long, linked boolean")
 
 
-def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """One row per row of ``documents``: doc_id, n_shingles, component_id, kept.
-
-    documents: doc_id (long, unique) and text; other columns are ignored.  Null
-    and empty texts have no shingles and are linked with nothing.  Rows that
-    repeat a doc_id with the same text get the same result each; a null doc_id
-    keeps a null component and is not kept.
-    """
-    spark = documents.sparkSession
-    ship(spark)
-    scratch = Scratch(spark, "neardup")
-    docs = keep_columns(documents, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    signed = scratch.write(signatures(docs, width), "signed")
-    firsts = signed.where("n_shingles > 0 and doc_id is not null").groupBy("f1", "f2").agg(F.min("doc_id").alias("doc_id"))
-    firsts = scratch.write(firsts, "firsts")
-    reps = signed.join(firsts.select("doc_id"), "doc_id", "left_semi").where("n_shingles > 0").select("doc_id", "keys", "s1", "s2")
-    found, pairs = candidates(reps, shuffle_parts(spark))
-    found = scratch.write(found, "neighbours")
-    links = found.where("edge is null").select("a", "b", "shared").unionByName(_across(found, pairs)).where("a <> b")
-    open_links = scratch.write(links.groupBy("a", "b").agg(F.max("shared").alias("shared")), "links")
-    scratch.drop(found)
+def settle(open_links: DataFrame, component: DataFrame | None, docs: DataFrame, scratch: Scratch, width: int, percent: int) -> tuple[DataFrame | None, list[DataFrame]]:
+    """The components after all links (a, b, shared; written) are confirmed, refuted or within one; and the tables of what was tested."""
     active = open_links.select(F.col("a").alias("doc_id")).unionByName(open_links.select(F.col("b").alias("doc_id"))).distinct()
     active = broadcast_if_small(scratch.write(active, "active"), BROADCAST_IDS)
     texts = scratch.write(docs.join(active, "doc_id", "left_semi"), "texts")
-    confirmed, component = None, None
+    done = []
     for most in ROUNDS:
         if open_links.isEmpty():
             break
@@ -262,6 +279,7 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80) ->
             other = F.row_number().over(Window.partitionBy("u").orderBy(F.xxhash64("a", "b"), "a", "b"))
             chosen = ends.withColumn("r", best).withColumn("o", other).where((F.col("r") <= most // 2) | (F.col("o") <= most - most // 2)).select("a", "b").distinct()
         tested = scratch.write(confirm(chosen, texts, width, percent), "tested")
+        done.append(tested.select("a", "b"))
         good = tested.where("linked").select("a", "b")
         if component is not None:
             good = good.unionByName(component.select(F.col("id").alias("a"), F.col("component").alias("b")))
@@ -272,9 +290,38 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80) ->
         rest = open_links.join(tested.select("a", "b"), ["a", "b"], "left_anti").join(side("a"), "a", "left").join(side("b"), "b", "left")
         rest = rest.where("coalesce(of_a, a) <> coalesce(of_b, b)").select("a", "b", "shared")
         following = scratch.write(rest, "links")
-        scratch.drop(open_links, tested)
+        scratch.drop(open_links)
         open_links = following
     scratch.drop(texts)
+    return component, done
+
+
+def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """One row per row of ``documents``: doc_id, n_shingles, component_id, kept.
+
+    documents: doc_id (long, unique) and text; other columns are ignored.  Null
+    and empty texts have no shingles and are linked with nothing.  Rows that
+    repeat a doc_id with the same text get the same result each; a null doc_id
+    keeps a null component and is not kept.
+    """
+    spark = documents.sparkSession
+    ship(spark)
+    scratch = Scratch(spark, "neardup")
+    docs = keep_columns(documents, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
+    signed = scratch.write(signatures(docs, width), "signed")
+    firsts = signed.where("n_shingles > 0 and doc_id is not null").groupBy("f1", "f2").agg(F.min("doc_id").alias("doc_id"))
+    firsts = scratch.write(firsts, "firsts")
+    reps = signed.join(firsts.select("doc_id"), "doc_id", "left_semi").where("n_shingles > 0").select("doc_id", "keys", "s1", "s2")
+    found, pairs = candidates(reps, shuffle_parts(spark))
+    found = scratch.write(found, "neighbours")
+    links = found.where("edge is null").select("a", "b", "shared").unionByName(_across(found, pairs)).where("a <> b")
+    open_links = scratch.write(links.groupBy("a", "b").agg(F.max("shared").alias("shared")), "links")
+    scratch.drop(found)
+    component, tested = settle(open_links, None, docs, scratch, width, percent)
+    more = dense_links(reps, component, scratch)
+    for known in tested:
+        more = more.join(known, ["a", "b"], "left_anti")
+    component, _ = settle(scratch.write(more, "links"), component, docs, scratch, width, percent)
     if component is None:
         named = firsts.withColumn("component_id", F.col("doc_id"))
     else:

@@ -456,3 +456,19 @@ def test_vectors_are_audited(spark):
     group = spark.createDataFrame([(i, 100) for i in range(100, len(x))], "id long, component long")
     recall, links = embeddings.audit(reps, group, Scratch(spark, "test"), 0.95, len(x))
     assert recall < 0.99 and {r.a for r in links.collect()} == {*range(40), *range(60, 100)}
+
+
+def template_rows(groups, size):
+    """Documents of a template, 0.75 alike, in pairs that are 0.82 alike."""
+    rows = []
+    for g in range(groups):
+        for k in range(size):
+            shared, pair, own = ([f"{kind}{i}" for i in range(n)] for kind, n in ((f"t{g}x", 300), (f"p{g}x{k // 2}x", 16), (f"d{g}x{k}x", 34)))
+            rows.append((len(rows), " ".join(shared + pair + own)))
+    return rows
+
+
+def test_near_duplicates_of_a_template(spark):
+    rows = template_rows(2, 200)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(frame(spark, rows), 1, 80).collect()}
+    assert got == {d: (350, d - d % 2) for d, _ in rows}
