@@ -472,3 +472,17 @@ def test_near_duplicates_of_a_template(spark):
     rows = template_rows(2, 200)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(frame(spark, rows), 1, 80).collect()}
     assert got == {d: (350, d - d % 2) for d, _ in rows}
+
+
+@pytest.mark.parametrize("percent", [5, 8, 10])
+def test_leaks_recall(percent):
+    rng = random.Random(percent)
+    items = [(i, " ".join("".join(rng.choices("abcdefghij", k=rng.randrange(2, 9))) for _ in range(rng.randrange(16, 60)))) for i in range(300)]
+    index, texts = decontaminate.Index(items), []
+    for _, text in index.items:
+        copy = list(text)
+        for at in rng.sample(range(len(copy)), len(copy) * percent // 100):
+            copy[at] = rng.choice(["", "z", copy[at] + "y"])
+        texts.append(f"{words(rng, 30)} {''.join(copy)} {words(rng, 30)}")
+    found = {(r, k) for r, k, _ in decontaminate._found(index, decontaminate.pa.array(texts), 10)}
+    assert sum((k, k) in found for k in range(300)) >= 0.98 * 300
