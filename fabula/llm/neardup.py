@@ -17,13 +17,14 @@
    of each document, then the links that still join different components, with
    more links a document in each round, until none is left untested.  So every
    candidate is either confirmed, refuted, or lies inside a component.
-4. In a dense region a row has more rows with two common values than step 2
-   links it to.  So then the whole region, in every order, is gone through: all
-   its pairs that lie in different components and clear the sketch are
-   candidates too, and are confirmed in the same rounds.  Only pairs inside a
-   confirmed component are passed over, so groups of near copies cost nothing
-   here; documents that are alike just below the threshold are compared each with
-   each.
+4. A dense region holds more rows than step 2 compares.  So every region, all
+   rows that share the four values of an order (16 such chances find a pair of
+   similarity 0.8 with a probability of 0.9998), is then gone through whole:
+   rows of different components are compared in blocks of bounded size, on their
+   full sets, inside the task.  Nothing is emitted but the links that join
+   components, and two blocks of one component never meet, so groups of near
+   copies cost nothing here, and documents that are alike just below the threshold
+   make no rows, however many they are.
 """
 
 from __future__ import annotations
@@ -52,6 +53,8 @@ LEAST_PREFIX = 2
 LEAST_SHARED = 40
 #: Links of a document tested in each round; the last round tests all.
 ROUNDS = (4, None)
+#: Documents and shingles of a block of a region, about.
+BLOCK_DOCS, BLOCK_SHINGLES = 1024, 1 << 18
 
 #: Up to so many ids (8 bytes each) of documents with candidates are broadcast to where texts are read; more are joined.
 BROADCAST_IDS = 2_000_000
@@ -204,71 +207,64 @@ def _across(found: DataFrame, pairs) -> DataFrame:
             a, b, s = pairs([c[order] for c in cols], len(order))
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(s)], ["a", "b", "shared"])
 
-    return found.where("edge is not null").select(*names).coalesce(1).mapInArrow(over_edges, "a long, b long, shared long")
+    return found.where("edge is not null").select(*names).repartition(1).mapInArrow(over_edges, "a long, b long, shared long")
 
 
-def _shared_in_sql(x: str, y: str) -> Column:
-    """``shared_fields`` of two columns of sketch words."""
-    differ = F.col(x).bitwiseXOR(F.col(y))
-    return 32 - F.bit_count(differ.bitwiseOR(F.shiftrightunsigned(differ, 1)).bitwiseAND(F.lit(0x5555555555555555)))
+def shingled(docs: DataFrame, width: int) -> DataFrame:
+    """doc_id and shingles (the sorted distinct 64-bit hashes as bytes) of every row."""
 
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            offsets, data = K.string_column(batch.column("text"))
+            for i, j in K.slices(offsets):
+                sets = [s.tobytes() for s in K.shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], width)]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(sets, pa.binary())], ["doc_id", "shingles"])
 
-def dense_links(reps: DataFrame, component: DataFrame | None, scratch: Scratch) -> DataFrame:
-    """Links a < b, with the shared sketch fields, of all pairs in different components that have the first
-    LEAST_PREFIX values of an order in common and clear the sketch.
+    return docs.select("doc_id", "text").mapInArrow(cut, "doc_id long, shingles binary")
 
-    Members meet by the components of their region, so pairs within one are never made.
-    """
-    labelled = reps.withColumn("of", F.col("doc_id"))
-    if component is not None:
-        of = component.select(F.col("id").alias("doc_id"), F.col("component").alias("of"))
-        labelled = reps.join(of, "doc_id", "left").withColumn("of", F.coalesce("of", "doc_id"))
-    rows = labelled.select("doc_id", "of", "s1", "s2", F.posexplode("keys").alias("tree", "k1"))
-    region = ["tree", "prefix"]
-    rows = rows.select("tree", F.shiftrightunsigned("k1", 64 - 16 * LEAST_PREFIX).alias("prefix"), "doc_id", "of", "s1", "s2")
-    mixed = rows.groupBy(*region).agg(F.min("of").alias("low"), F.max("of").alias("high")).where("low <> high").select(*region)
-    rows = scratch.write(rows.join(mixed, region), "regions")
-    within = scratch.write(rows.select(*region, "of").distinct(), "within")
-    two = within.withColumnRenamed("of", "of_a").join(within.withColumnRenamed("of", "of_b"), region).where("of_a < of_b")
-    side = lambda i: rows.select(*region, *[F.col(c).alias(f"{n}_{i}") for c, n in (("of", "of"), ("doc_id", "id"), ("s1", "s1"), ("s2", "s2"))])
-    pairs = two.join(side("a"), [*region, "of_a"]).join(side("b"), [*region, "of_b"])
-    pairs = pairs.withColumn("shared", (_shared_in_sql("s1_a", "s1_b") + _shared_in_sql("s2_a", "s2_b")).cast("long")).where(F.col("shared") >= LEAST_SHARED)
-    return pairs.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"), "shared").distinct()
-
-
-def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+
+def _hashes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets in hashes, and the hashes, of a column of sets."""
+    offsets, data = K.string_column(column)
+    return (offsets - offsets[0]) // 8, data[offsets[0] : offsets[-1]].view(np.uint64) if offsets[-1] > offsets[0] else np.zeros(0, np.uint64)
+
+
+def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """a, b and linked (100 * intersection >= percent * union) of each pair, on the full sets."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            oa, da = K.string_column(batch.column("text_a"))
-            ob, db = K.string_column(batch.column("text_b"))
-            ids = np.asarray(batch.column("a"))
+            oa, da = _hashes(batch.column("set_a"))
+            ob, db = _hashes(batch.column("set_b"))
             linked = np.zeros(batch.num_rows, bool)
-            last, x = None, None
             for i in range(batch.num_rows):
-                if last is None or ids[i] != last:
-                    part = da[oa[i] : oa[i + 1]]
-                    x, last = next(K.shingle_sets(part, np.array([0, len(part)]), width)), ids[i]
-                part = db[ob[i] : ob[i + 1]]
-                y = next(K.shingle_sets(part, np.array([0, len(part)]), width))
-                both = np.concatenate([x, y])
+                both = np.concatenate([da[oa[i] : oa[i + 1]], db[ob[i] : ob[i + 1]]])
+                size = len(both)
                 both.sort()
                 common = int((both[1:] == both[:-1]).sum())
-                linked[i] = 100 * common >= percent * (len(x) + len(y) - common)
+                linked[i] = 100 * common >= percent * (size - common)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked)], ["a", "b", "linked"])
 
-    texts = texts.select("doc_id", "text")
-    with_b = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    return with_b.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b").mapInArrow(measure, "a long, b long, linked boolean")
+    side = lambda i: sets.select(F.col("doc_id").alias(i), F.col("shingles").alias(f"set_{i}"))
+    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "set_a", "set_b").mapInArrow(measure, "a long, b long, linked boolean")
+
 
+def _sets_of(docs: DataFrame, ids: DataFrame, scratch: Scratch, width: int) -> DataFrame:
+    """The sets of the documents ``ids`` (distinct doc_id), written; one row for each different set of a doc_id."""
+    ids = scratch.write(ids, "ids")
+    sets = scratch.write(shingled(docs.join(broadcast_if_small(ids, BROADCAST_IDS), "doc_id", "left_semi"), width), "sets")
+    if sets.count() > ids.count():  # rows repeat
+        sets = scratch.write(sets.dropDuplicates(["doc_id", "shingles"]), "sets")
+    return sets
 
-def settle(open_links: DataFrame, component: DataFrame | None, docs: DataFrame, scratch: Scratch, width: int, percent: int) -> tuple[DataFrame | None, list[DataFrame]]:
-    """The components after all links (a, b, shared; written) are confirmed, refuted or within one; and the tables of what was tested."""
+
+def settle(open_links: DataFrame, docs: DataFrame, scratch: Scratch, width: int, percent: int) -> DataFrame | None:
+    """The components after all links (a, b, shared; written) are confirmed, refuted or within one; None without links."""
+    if open_links.isEmpty():
+        return None
     active = open_links.select(F.col("a").alias("doc_id")).unionByName(open_links.select(F.col("b").alias("doc_id"))).distinct()
-    active = broadcast_if_small(scratch.write(active, "active"), BROADCAST_IDS)
-    texts = scratch.write(docs.join(active, "doc_id", "left_semi"), "texts")
-    done = []
+    sets = _sets_of(docs, active, scratch, width)
+    component = None
     for most in ROUNDS:
         if open_links.isEmpty():
             break
@@ -278,8 +274,7 @@ def settle(open_links: DataFrame, component: DataFrame | None, docs: DataFrame,
             best = F.row_number().over(Window.partitionBy("u").orderBy(F.desc("shared"), F.xxhash64("a", "b")))
             other = F.row_number().over(Window.partitionBy("u").orderBy(F.xxhash64("a", "b"), "a", "b"))
             chosen = ends.withColumn("r", best).withColumn("o", other).where((F.col("r") <= most // 2) | (F.col("o") <= most - most // 2)).select("a", "b").distinct()
-        tested = scratch.write(confirm(chosen, texts, width, percent), "tested")
-        done.append(tested.select("a", "b"))
+        tested = scratch.write(confirm(chosen, sets, percent), "tested")
         good = tested.where("linked").select("a", "b")
         if component is not None:
             good = good.unionByName(component.select(F.col("id").alias("a"), F.col("component").alias("b")))
@@ -292,8 +287,111 @@ def settle(open_links: DataFrame, component: DataFrame | None, docs: DataFrame,
         following = scratch.write(rest, "links")
         scratch.drop(open_links)
         open_links = following
-    scratch.drop(texts)
-    return component, done
+    scratch.drop(sets)
+    return component
+
+
+def regions(reps: DataFrame, component: DataFrame | None, scratch: Scratch) -> DataFrame:
+    """Pairs of blocks that go through the regions with more than one component: region, pair, side, doc_id, of, n, s1, s2.
+
+    A row goes to each pair that its block is in, with the side 0 or 1, or 2 in a
+    block that is compared with itself.  Members of a component that fills a
+    block have blocks of their own.
+    """
+    labelled = reps.withColumn("of", F.col("doc_id"))
+    if component is not None:
+        of = component.select(F.col("id").alias("doc_id"), F.col("component").alias("of"))
+        labelled = reps.join(of, "doc_id", "left").withColumn("of", F.coalesce("of", "doc_id"))
+    rows = labelled.select("doc_id", "of", F.col("n_shingles").alias("n"), "s1", "s2", F.posexplode("keys").alias("tree", "key"))
+    several = rows.groupBy("tree", "key").agg(F.min("of").alias("low"), F.max("of").alias("high")).where("low <> high").select("tree", "key")
+    rows = scratch.write(rows.join(several, ["tree", "key"], "left_semi").withColumn("region", F.xxhash64("tree", "key")).drop("tree", "key"), "regions")
+    parts = F.greatest(F.ceil(F.sum("docs") / BLOCK_DOCS), F.ceil(F.sum("shingles") / BLOCK_SHINGLES)).cast("int")
+    own = rows.groupBy("region", "of").agg(F.count("*").alias("docs"), F.sum("n").alias("shingles"))
+    whole = (F.col("docs") > BLOCK_DOCS) | (F.col("shingles") > BLOCK_SHINGLES)
+    # (region, large component or null, its blocks)
+    of = F.when(whole, F.col("of"))
+    dealt = scratch.write(own.groupBy("region", of.alias("large")).agg(parts.alias("parts")), "dealt")
+    blocks = dealt.select("region", "large", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    block = F.struct(F.coalesce("large", F.lit(-(1 << 63))).alias("large"), "part")
+    blocks = blocks.select("region", F.col("large").isNotNull().alias("single"), block.alias("block"))
+    left = blocks.select("region", F.col("single").alias("single_a"), F.col("block").alias("a"))
+    two = left.join(blocks.select("region", F.col("single").alias("single_b"), F.col("block").alias("b")), "region")
+    two = two.where("a <= b and not (single_a and single_b and a.large = b.large)").select("region", F.xxhash64("region", "a", "b").alias("pair"), "a", "b")
+    same = F.col("a") == F.col("b")
+    ends = two.select("region", "pair", F.col("a").alias("block"), F.when(same, 2).otherwise(0).alias("side")).unionByName(
+        two.where(~same).select("region", "pair", F.col("b").alias("block"), F.lit(1).alias("side"))
+    )
+    large = dealt.where("large is not null").select("region", F.col("large").alias("of"), F.col("parts").alias("own_parts"))
+    small = dealt.where("large is null").select("region", "parts")
+    placed = rows.join(large, ["region", "of"], "left").join(small, "region", "left")
+    in_block = F.when(F.col("own_parts").isNotNull(), F.struct(F.col("of").alias("large"), F.pmod(F.xxhash64("doc_id"), F.col("own_parts")).cast("int").alias("part"))).otherwise(
+        F.struct(F.lit(-(1 << 63)).alias("large"), F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int").alias("part"))
+    )
+    placed = placed.withColumn("block", in_block).select("region", "block", "doc_id", "of", "n", "s1", "s2")
+    return placed.join(ends, ["region", "block"]).select("region", "pair", "side", "doc_id", "of", "n", "s1", "s2")
+
+
+def block_links(side: np.ndarray, ids: np.ndarray, of: np.ndarray, s1: np.ndarray, s2: np.ndarray, offsets: np.ndarray, hashes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links between rows of two blocks (sides 0 and 1, or all of one block: side 2) whose components differ, on full sets.
+
+    Links of two components already joined here are left out.
+    """
+    size = np.diff(offsets)
+    token = np.unique(hashes, return_inverse=True)[1]
+    held = np.zeros(int(token.max(initial=0)) + 1, bool)
+    label = np.unique(of, return_inverse=True)[1]
+    out = []
+    for i in np.flatnonzero(side != 1):
+        other = (label != label[i]) & (side == 1) if side[i] == 0 else (label != label[i]) & (np.arange(len(ids)) > i)
+        other &= 100 * np.minimum(size, size[i]) >= percent * np.maximum(size, size[i])
+        other = np.flatnonzero(other)
+        other = other[shared_fields(s1[other], s1[i : i + 1]) + shared_fields(s2[other], s2[i : i + 1]) >= LEAST_SHARED]
+        if not len(other):
+            continue
+        own = token[offsets[i] : offsets[i + 1]]
+        held[own] = True
+        starts, n = offsets[other], size[other]
+        ends = np.cumsum(n)
+        at = np.repeat(starts - ends + n, n) + np.arange(ends[-1])
+        common = np.add.reduceat(held[token[at]].astype(np.int64), ends - n)
+        held[own] = False
+        for j in other[100 * common >= percent * (n + size[i] - common)]:
+            if label[j] != label[i]:
+                out.append((ids[i], ids[j]))
+                label[label == label[j]] = label[i]
+    a, b = np.array(out, np.int64).reshape(-1, 2).T
+    return a, b
+
+
+def region_links(blocks: DataFrame, sets: DataFrame, parts: int, percent: int) -> DataFrame:
+    """Links a, b found in pairs of blocks, which come one after another in partitions sorted by pair."""
+    names = ["side", "doc_id", "of", "s1", "s2"]
+    rows = blocks.join(sets, "doc_id").repartition(parts, "region", "pair").sortWithinPartitions("region", "pair").select("pair", *names, "shingles")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def finish() -> pa.RecordBatch:
+            table = pa.Table.from_batches(held)
+            offsets, hashes = _hashes(table.column("shingles"))
+            links = block_links(*(np.asarray(table.column(c)) for c in names), offsets, hashes, percent)
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in links], ["a", "b"])
+
+        last = None
+        for batch in batches:
+            pair = np.asarray(batch.column("pair"))
+            cuts = [0, *(np.flatnonzero(pair[1:] != pair[:-1]) + 1).tolist(), len(pair)]
+            for lo, hi in zip(cuts[:-1], cuts[1:]):
+                if hi > lo:
+                    if held and pair[lo] != last:
+                        yield finish()
+                        held.clear()
+                    held.append(batch.slice(lo, hi - lo))
+                    last = pair[lo]
+        if held:
+            yield finish()
+
+    return rows.mapInArrow(compare, "a long, b long")
 
 
 def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -311,17 +409,22 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80) ->
     signed = scratch.write(signatures(docs, width), "signed")
     firsts = signed.where("n_shingles > 0 and doc_id is not null").groupBy("f1", "f2").agg(F.min("doc_id").alias("doc_id"))
     firsts = scratch.write(firsts, "firsts")
-    reps = signed.join(firsts.select("doc_id"), "doc_id", "left_semi").where("n_shingles > 0").select("doc_id", "keys", "s1", "s2")
+    reps = signed.join(firsts, ["f1", "f2", "doc_id"], "left_semi").select("doc_id", "n_shingles", "keys", "s1", "s2").distinct()
+    reps = scratch.write(reps, "reps")
     found, pairs = candidates(reps, shuffle_parts(spark))
     found = scratch.write(found, "neighbours")
     links = found.where("edge is null").select("a", "b", "shared").unionByName(_across(found, pairs)).where("a <> b")
     open_links = scratch.write(links.groupBy("a", "b").agg(F.max("shared").alias("shared")), "links")
     scratch.drop(found)
-    component, tested = settle(open_links, None, docs, scratch, width, percent)
-    more = dense_links(reps, component, scratch)
-    for known in tested:
-        more = more.join(known, ["a", "b"], "left_anti")
-    component, _ = settle(scratch.write(more, "links"), component, docs, scratch, width, percent)
+    component = settle(open_links, docs, scratch, width, percent)
+    blocks = scratch.write(regions(reps, component, scratch), "blocks")
+    sets = _sets_of(docs, blocks.select("doc_id").distinct(), scratch, width)
+    more = scratch.write(region_links(blocks, sets, shuffle_parts(spark), percent), "more")
+    scratch.drop(blocks, sets)
+    if not more.isEmpty():
+        if component is not None:
+            more = more.unionByName(component.select(F.col("id").alias("a"), F.col("component").alias("b")))
+        component = scratch.write(connected_components(more, scratch), "component")
     if component is None:
         named = firsts.withColumn("component_id", F.col("doc_id"))
     else:

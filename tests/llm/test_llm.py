@@ -91,6 +91,16 @@ def test_near_duplicates_odd(spark, empty, docs):
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id), r.kept) for r in twice) == [("1", 1, "1", True), ("1", 1, "1", True), ("2", 1, "1", False), ("3", 0, "3", True), ("None", 1, "None", False)]
 
 
+def test_near_duplicates_of_repeated_rows(spark):
+    """Rows that repeat a doc_id, with its text or with another, are one node."""
+    rng = random.Random(3)
+    base = [f"t{i}" for i in range(60)]
+    texts = [" ".join(base), " ".join(base[:-1] + ["x"]), words(rng, 40)]
+    rows = [(1, texts[0])] * 30 + [(2, texts[1])] * 30 + [(3, texts[2]), (3, texts[0] + " y"), (4, texts[2])]
+    got = {(r.doc_id, r.component_id, r.kept) for r in neardup.near_duplicates(frame(spark, rows)).collect()}
+    assert got == {(1, 1, True), (2, 1, False), (3, 1, False), (4, 1, False)}
+
+
 def test_near_duplicates_join_when_ids_are_many(docs, rows, monkeypatch):
     monkeypatch.setattr(neardup, "BROADCAST_IDS", -1)
     got = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs, 2, 80).collect()}
@@ -468,7 +478,10 @@ def template_rows(groups, size):
     return rows
 
 
-def test_near_duplicates_of_a_template(spark):
+@pytest.mark.parametrize("block", [1024, 60])
+def test_near_duplicates_of_a_template(spark, monkeypatch, block):
+    """Whole regions are searched, in one block or in pairs of blocks."""
+    monkeypatch.setattr(neardup, "BLOCK_DOCS", block)
     rows = template_rows(2, 200)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(frame(spark, rows), 1, 80).collect()}
     assert got == {d: (350, d - d % 2) for d, _ in rows}
