@@ -25,26 +25,28 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from fabula.llm.runtime import Scratch, broadcast_if_small, forget, keep_columns
+from fabula.llm.runtime import Scratch, forget, keep_columns
 
-#: Shorter lines are only removed if they are equal to an earlier one.
+#: Shorter lines are only removed if they are equal to an earlier one, unless the caller says otherwise.
 LEAST_CHARS = 16
 BLOCK = 16
-#: Positions of lines to read again (16 bytes each) and the numbers of removed lines (4 bytes each, and 32 for each
-#: document) are broadcast up to these counts; more are joined by a shuffle.
-BROADCAST_LINES = 2_000_000
-BROADCAST_GONE = 4_000_000
 _BLANK = " \t\r\f\x0b"
 
 
 def _lines(documents: DataFrame) -> DataFrame:
-    """doc_id, line_no (from 0), line (trimmed, not blank) of the rows with a doc_id and a text."""
-    rows = documents.where("doc_id is not null and text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "raw"))
-    return rows.select("doc_id", "line_no", F.btrim("raw", F.lit(_BLANK)).alias("line")).where("line <> ''")
+    """doc_id, of (the hash of the text), line_no (from 0), line (trimmed, not blank) of the rows with a doc_id and a text."""
+    rows = documents.where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("of"), F.posexplode(F.split("text", "\n")).alias("line_no", "raw"))
+    return rows.select("doc_id", "of", "line_no", F.btrim("raw", F.lit(_BLANK)).alias("line")).where("line <> ''")
 
 
-def _half_keys(line: Column) -> Column:
-    """The four shared halves of a line: array of (m, side, key).
+def _at(doc_id: Column, line_no: Column, h1: Column) -> Column:
+    """The position of a line: 63 bits of the doc_id and its sign, 31 of the line number, 30 of the line's hash."""
+    number = lambda c: c.cast("decimal(20,0)")
+    return ((number(doc_id) * number(F.lit(1 << 31)) + number(line_no)) * number(F.lit(1 << 30)) + number(F.pmod(h1, F.lit(1 << 30)))).cast("decimal(38,0)")
+
+
+def _half_keys(line: Column, least: int) -> list[Column]:
+    """Keys of the four halves of a line that another may share; null where there is none.
 
     m is the length of the shorter line of a pair, so a line takes part with its
     own length and with one less; the first m div 2 characters are side 0, the
@@ -52,13 +54,13 @@ def _half_keys(line: Column) -> Column:
     """
     size = F.length(line)
 
-    def keys(less: int) -> list[Column]:
+    def key(less: int, side: int) -> Column:
         m = size - less
         half = F.floor(m / 2).cast("int")
-        first, last = F.substring(line, F.lit(1), half), F.right(line, m - half)
-        return [F.struct(m.alias("m"), F.lit(s).alias("side"), F.xxhash64(m, F.lit(s), part).alias("key")) for s, part in ((0, first), (1, last))]
+        part = F.substring(line, F.lit(1), half) if side == 0 else F.right(line, m - half)
+        return F.when(size >= least + less, F.xxhash64(m, F.lit(side), part))
 
-    return F.when(size >= LEAST_CHARS + 1, F.array(*keys(0), *keys(1))).when(size == LEAST_CHARS, F.array(*keys(0)))
+    return [key(less, side) for less in (0, 1) for side in (0, 1)]
 
 
 def _blocks(line: Column, m: Column, side: Column, key: Column) -> Column:
@@ -104,23 +106,30 @@ def _shared(rows: DataFrame) -> DataFrame:
     return rows.join(several, "key", "left_semi")
 
 
-def removed_lines(documents: DataFrame, scratch: Scratch) -> DataFrame:
-    """doc_id, line_no of the lines that an earlier line removes; repeats possible."""
-    lines = _lines(documents)
-    position = F.struct("doc_id", "line_no")
-    hashed = lines.select(position.alias("at"), F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), F.length("line").alias("size"), _half_keys(F.col("line")).alias("halves"))
-    # equal lines: their first position goes on for all of them
-    texts = hashed.groupBy("h1", "h2").agg(F.min(F.struct("at", "size", "halves")).alias("m"), F.count("*").alias("n"))
-    texts = scratch.write(texts.select("h1", "h2", "m.at", "m.size", "m.halves", "n"), "texts")
-    halves = texts.where("halves is not null").select("at", "size", F.inline("halves"))
+def removed_lines(documents: DataFrame, scratch: Scratch, least_chars: int = LEAST_CHARS) -> DataFrame:
+    """doc_id, of (the hash of its text), line_no of the lines that an earlier line removes; repeats possible."""
+    keys = [f"k{i}" for i in range(4)]
+    hashed = _lines(documents).select("doc_id", "of", "line_no", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), F.length("line").alias("size"), *[k.alias(n) for k, n in zip(_half_keys(F.col("line"), least_chars), keys)])
+    hashed = hashed.withColumn("at", _at(F.col("doc_id"), F.col("line_no"), F.col("h1")))
+    # equal lines: their first position goes on for all of them; what depends on the text alone has one value
+    texts = hashed.groupBy("h1", "h2").agg(F.min("at").alias("at"), F.count("*").alias("n"), *[F.min(c).alias(c) for c in ("size", *keys)])
+    texts = scratch.write(texts, "texts")
+    forget(documents.sparkSession)
+    half = lambda i: F.struct((F.col("size") - i // 2).alias("m"), F.lit(i % 2).alias("side"), F.col(f"k{i}").alias("key"))
+    halves = texts.where("k0 is not null").select("at", F.inline(F.array(*[half(i) for i in range(4)]))).where("key is not null")
     halves = scratch.write(_shared(halves), "halves")
-    # only lines of shared halves are read again
-    wanted = scratch.write(halves.groupBy("at").agg(F.collect_set(F.struct("m", "side", "key")).alias("halves")), "wanted")
-    named = broadcast_if_small(wanted.select("at"), BROADCAST_LINES)
-    found = scratch.write(lines.select(position.alias("at"), "line").join(named, "at", "left_semi").dropDuplicates(["at"]), "found")
-    held = scratch.write(found.join(wanted, "at"), "held")
+    # only lines of shared halves are read again, at their first positions
+    wanted = halves.groupBy("at").agg(F.collect_set(F.struct("m", "side", "key")).alias("halves"))
+    place = F.pmod("at", F.lit(1 << 61).cast("decimal(20,0)"))
+    wanted = wanted.withColumn("place", place).select(F.expr(f"(at - place) div {1 << 61}").alias("doc_id"), F.expr(f"CAST(place div {1 << 30} AS INT)").alias("line_no"), "at", "halves")
+    wanted = scratch.write(wanted.groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "at", "halves")).alias("wanted")), "wanted")
     scratch.drop(halves)
     forget(documents.sparkSession)
+    rows = documents.where("text is not null").join(wanted.hint("merge"), "doc_id").select("doc_id", F.split("text", "\n").alias("lines"), "wanted")
+    rows = rows.select("doc_id", F.inline(F.transform("wanted", lambda w: F.struct(w["at"].alias("at"), w["line_no"].alias("line_no"), F.btrim(F.get("lines", w["line_no"]), F.lit(_BLANK)).alias("line"), w["halves"].alias("halves")))))
+    own = F.col("at") == _at(F.col("doc_id"), F.col("line_no"), F.xxhash64("line"))  # a doc_id may have another text too
+    held = scratch.write(rows.where(own).select("at", "line", "halves").dropDuplicates(["at"]), "held")
+    forget(documents.sparkSession)
     each = held.select("at", F.length("line").alias("size"), "line", F.explode("halves").alias("h"))
     blocks = each.select("at", "size", F.col("h.m").alias("m"), F.inline(_blocks(F.col("line"), F.col("h.m"), F.col("h.side"), F.col("h.key"))))
     blocks = scratch.write(_shared(blocks), "blocks")
@@ -131,33 +140,35 @@ def removed_lines(documents: DataFrame, scratch: Scratch) -> DataFrame:
     texts_of = lambda a, b: held.select(F.col("at").alias(a), F.col("line").alias(b))
     verified = pairs.join(texts_of("at", "line"), "at").join(texts_of("other", "other_line"), "other").where(F.levenshtein("line", "other_line", 1).between(0, 1))
     near = scratch.write(verified.select("at").distinct(), "near")
+    scratch.drop(held, blocks)
+    forget(documents.sparkSession)
     # all lines of a removed text go; of the other repeated texts all but the first
-    fate = texts.join(near.withColumn("near", F.lit(True)), "at", "left").where("n > 1 or near").select("h1", "h2", F.col("at").alias("first"), F.coalesce("near", F.lit(False)).alias("near"))
-    gone = hashed.select("at", "h1", "h2").join(fate, ["h1", "h2"]).where("near or at > first")
-    return gone.select("at.doc_id", "at.line_no")
+    fate = texts.select("h1", "h2", "at", "n").join(near.withColumn("near", F.lit(True)), "at", "left").where("n > 1 or near").select("h1", "h2", F.col("at").alias("first"), F.coalesce("near", F.lit(False)).alias("near"))
+    gone = hashed.select("doc_id", "of", "line_no", "at", "h1", "h2").join(fate, ["h1", "h2"]).where("near or at > first")
+    return gone.select("doc_id", "of", "line_no")
 
 
-def without_repeated_lines(documents: DataFrame) -> DataFrame:
+def without_repeated_lines(documents: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
     """One row per row of ``documents``: doc_id, text (what is left), n_lines, n_removed.
 
-    Removed lines go with their line break.  Null texts stay null (0 lines); empty
-    texts have one line, which is blank.  A repeated row (doc_id and text) gets
-    the same result and doesn't remove the lines of its equal; rows without a
-    doc_id lose nothing and remove nothing.  An empty table gives no rows.  Only
-    doc_id and text are read.
+    Removed lines go with their line break.  Lines of fewer than ``least_chars``
+    characters are only removed if they are equal to an earlier one.  Null texts
+    stay null (0 lines); empty texts have one line, which is blank.  A repeated
+    row (doc_id and text) gets the same result and doesn't remove the lines of
+    its equal; of two texts under one doc_id each loses its own lines.  Rows
+    without a doc_id lose nothing and remove nothing.  An empty table gives no
+    rows.  Only doc_id and text are read.
     """
     scratch = Scratch(documents.sparkSession, "lines")
-    docs = keep_columns(documents, "doc_id", "text")
-    gone = removed_lines(docs, scratch).groupBy("doc_id").agg(F.collect_set("line_no").alias("gone"))
+    docs = keep_columns(documents, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
+    gone = removed_lines(docs, scratch, least_chars).groupBy("doc_id", "of").agg(F.collect_set("line_no").alias("gone"))
     gone = scratch.write(gone, "gone")
     forget(documents.sparkSession)
     lines = F.split("text", "\n")
-    dropped = F.map_from_arrays(F.col("gone"), F.col("gone"))
     left = F.when(F.col("gone").isNull(), F.col("text")).otherwise(
         F.array_join(F.filter(F.transform(lines, lambda x, i: F.when(~F.map_contains_key(F.col("dropped"), i), x)), lambda x: x.isNotNull()), "\n")
     )
-    held = gone.agg(F.coalesce(F.sum(F.size("gone") + 8), F.lit(0))).first()[0]
-    both = docs.join(F.broadcast(gone) if held <= BROADCAST_GONE else gone, "doc_id", "left").withColumn("dropped", dropped)
+    both = docs.withColumn("of", F.xxhash64("text")).join(gone.hint("merge"), ["doc_id", "of"], "left").withColumn("dropped", F.map_from_arrays(F.col("gone"), F.col("gone")))
     return both.select(
         "doc_id", left.alias("text"), F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
         F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"),
