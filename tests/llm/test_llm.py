@@ -140,6 +140,15 @@ def test_lines(docs, rows):
     assert got == brute.kept_lines(rows)
 
 
+def test_lines_of_odd_ids(spark):
+    """Negative ids come first, two texts under one doc_id keep apart, short lines may be compared too."""
+    rows = [(-5, "first line of the text\nanother"), (0, "first line of the texx"), (3, "first line of the text"), (3, "own\nfirst line of the text\nsecond"), (-9, "abcdef"), (7, "abcxef")]
+    got = sorted((r.doc_id, r.text, r.n_removed) for r in linededup.without_repeated_lines(frame(spark, rows)).collect())
+    assert got == sorted([(-5, rows[0][1], 0), (0, "", 1), (3, "", 1), (3, "own\nsecond", 1), (-9, "abcdef", 0), (7, "abcxef", 0)])
+    short = {r.doc_id: r.n_removed for r in linededup.without_repeated_lines(frame(spark, rows[-2:]), least_chars=4).collect()}
+    assert short == {-9: 0, 7: 1}
+
+
 def test_lines_within_one_edit(spark, empty):
     rng = random.Random(9)
     base = ["".join(rng.choices("abcdeé ", k=n)).strip() or "x" for n in [15, 16, 16, 17, 18, 31, 33, 48, 49, 64, 80, 129] * 4]
@@ -487,15 +496,58 @@ def test_near_duplicates_of_a_template(spark, monkeypatch, block):
     assert got == {d: (350, d - d % 2) for d, _ in rows}
 
 
-@pytest.mark.parametrize("percent", [5, 8, 10])
-def test_leaks_recall(percent):
-    rng = random.Random(percent)
-    items = [(i, " ".join("".join(rng.choices("abcdefghij", k=rng.randrange(2, 9))) for _ in range(rng.randrange(16, 60)))) for i in range(300)]
-    index, texts = decontaminate.Index(items), []
-    for _, text in index.items:
+def test_leaks_recall():
+    """At the edit bound itself, for items of all lengths, in quotes and without spaces; exact copies are all found."""
+    rng = random.Random(5)
+    texts = []
+    for k in range(480):
+        n = (16, 24, 40, 64, 100, 200, 400)[k % 7]
+        if k % 5 == 4:
+            texts.append("".join(chr(0x4E00 + rng.randrange(900)) for _ in range(n)))
+        else:
+            t = ""
+            while len(t) < n:
+                t += "".join(rng.choices("abcdefghij", k=rng.randrange(2, 9))) + " "
+            texts.append(t[: n - 1] + "k")
+    for percent in (0, 2, 5, 10):
+        index = decontaminate.Index(list(enumerate(texts)), percent)
+        exact, changed = [], []
+        for k, text in index.items:
+            copy = list(text)
+            for at in rng.sample(range(len(copy)), len(copy) * percent // 100):
+                copy[at] = rng.choice(["", "z", copy[at] + "y"])
+            lead, tail = rng.choice([(" ", " "), ("\u201c", "\u201d"), ('("', '").'), (" \u4e00", "\u4e01")])
+            exact.append(f"{words(rng, 30)}{lead}{text.upper()}{tail}{words(rng, 30)}")
+            changed.append(f"{words(rng, 30)}{lead}{''.join(copy)}{tail}{words(rng, 30)}")
+        find = lambda rows: {(r, index.items[i][0]) for r, i, _ in decontaminate._found(index, decontaminate.pa.array(rows))}
+        assert find(exact) >= {(r, k) for r, (k, _) in enumerate(index.items)}
+        found = find(changed)
+        missed = [len(t) for r, (k, t) in enumerate(index.items) if (r, k) not in found]
+        assert len(missed) <= 0.05 * len(index.items), (percent, missed)
+        assert len(found) <= 1.02 * len(index.items)
+
+
+def test_leaks_equal_brute_force(spark, empty):
+    """Every item against every place of every document."""
+    rng = random.Random(8)
+    items = [(None, words(rng, 9)), (5, words(rng, 6)), (7, words(rng, 25)), (7, words(rng, 12)), (9, "short"), (None, None), (11, "")]
+    docs = [(k, words(rng, 40)) for k in range(30)]
+    for k, (_, text) in enumerate(items[:4] * 3):
         copy = list(text)
-        for at in rng.sample(range(len(copy)), len(copy) * percent // 100):
-            copy[at] = rng.choice(["", "z", copy[at] + "y"])
-        texts.append(f"{words(rng, 30)} {''.join(copy)} {words(rng, 30)}")
-    found = {(r, k) for r, k, _ in decontaminate._found(index, decontaminate.pa.array(texts), 10)}
-    assert sum((k, k) in found for k in range(300)) >= 0.98 * 300
+        copy[rng.randrange(len(copy))] = "Q"
+        docs.append((100 + k, f"{words(rng, 5)} {''.join(copy)} {words(rng, 5)}"))
+    docs += [(None, items[2][1]), (200, None), (201, ""), (202, items[2][1] + " " + items[3][1])]
+    bench = spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", F.lit(1))
+    got = sorted((str(r.doc_id), str(r.item_id), r.distance, r.item_chars) for r in decontaminate.leaks(frame(spark, docs), bench).collect())
+    expected = []
+    for d, text in docs:
+        for i, item in items:
+            if item and len(item) >= 16 and text:
+                far = decontaminate.edit_distance_within(item.lower(), " ".join(text.lower().split()), len(item) // 10)
+                if far is not None:
+                    expected.append((str(d), str(i), far, len(item)))
+    assert got == sorted(expected) and len(got) >= 15
+    assert decontaminate.leaks(empty, bench).count() == 0
+    assert decontaminate.leaks(frame(spark, docs), bench.where("false")).count() == 0
+    clean = decontaminate.decontaminated(frame(spark, docs), bench)
+    assert clean.columns == empty.columns and sorted(str(r.doc_id) for r in clean.collect()) == sorted([*map(str, range(30)), "200", "201"])
