@@ -1,11 +1,14 @@
 """Personal data by bootstrapped contextual extraction, in DataFrame functions only.
 
 Base spans are regular: each kind has a pattern and a test.  They are the
-seeds of a bootstrap.  The words around an instance form its lexical pattern;
-patterns and instances form a bipartite graph, scored in turns: a pattern's
-confidence is the confident share of its instances, an instance's confidence
-joins those of its patterns by noisy-or.  Identifier-like tokens that no base
-pattern takes are added as spans where confident patterns hold them.
+seeds of a bootstrap.  The words around an instance form its lexical patterns:
+one word on either side, two words before it, and two after it, where the ends of
+the text and other identifiers count as words.  Patterns and instances form a
+bipartite graph, scored in turns until it settles: a pattern's confidence is the
+confident share of its instances, an instance's confidence joins those of its
+patterns by noisy-or.  Strings that may be identifiers but that no base pattern
+takes (numbers in groups, written-out addresses) are added as spans where
+confident patterns hold them.
 
 Positions come from one pass: the pieces between the matches (``split``) and
 the matches (``regexp_extract_all``) alternate, so starts are running sums of
@@ -30,22 +33,31 @@ PATTERNS = {
     "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){13,18}+(?![\x20-]?[0-9])",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: Tokens that may be identifiers: runs of these characters with a digit.
-TOKEN = r"(?:\G|(?<![A-Za-z0-9._%+()@:/-]))[A-Za-z._%+()@:/-]*+[0-9][A-Za-z0-9._%+()@:/-]*+"
-#: What a token must look like to become a span of a kind.
+_OPEN, _SHUT = r"[\[(<{]", r"[\])>}]"
+_AT = rf"(?:@| ?{_OPEN} ?(?:at|AT|@) ?{_SHUT} ?)"
+_DOT = rf"(?:\.| ?{_OPEN} ?(?:dot|DOT) ?{_SHUT} ?| dot )"
+_NAME = "[A-Za-z0-9._%+-]++"
+#: Strings that may be identifiers: an address, its signs perhaps in words or brackets; a number, perhaps in groups.
+CANDIDATE = (
+    rf"(?<![A-Za-z0-9._%+-]){_NAME}(?:{_AT}[A-Za-z0-9-]++(?:{_DOT}[A-Za-z0-9-]++)*+| at [A-Za-z0-9-]++(?: dot [A-Za-z0-9-]++)++)"
+    r"|[+(]{0,2}+(?<![0-9])[0-9](?:[ ().:/_-]{0,3}[0-9])++"
+)
+#: What a candidate must look like to become a span of a kind.
 PLAUSIBLE = {
-    "email": r"^[^@]+(@|\(at\))[^@]+$",
-    "ip": r"^[0-9]{1,3}([.:-][0-9]{1,3}){3,}$",
-    "card": r"^([^0-9]*[0-9]){12,19}[^0-9]*$",
-    "phone": r"^([^0-9A-Za-z]*[0-9]){7,15}[^0-9A-Za-z]*$",
+    "email": rf"^{_NAME}(?:{_AT}| at )\S",
+    "ip": r"^[0-9]{1,3}(?:[.:_-][0-9]{1,3}){3,}$",
+    "card": r"^(?:[^0-9]*[0-9]){12,19}[^0-9]*$",
+    "phone": r"^(?:[^0-9]*[0-9]){7,15}[^0-9]*$",
 }
-#: A pattern counts from so many confident instances and from this confidence; an instance from this one.
+#: A pattern counts from so many confident instances (twice as many if it has words on one side only) and from this
+#: confidence; an instance from this one.
 LEAST_SUPPORT = 5.0
 LEAST_PATTERN = 0.8
 LEAST_INSTANCE = 0.9
-ROUNDS = 3
-#: Characters on either side of an instance in which its context words are sought.
-CONTEXT = 48
+#: Scores have settled when they change by less in all; they only grow, so they do.
+SETTLED = 1e-3
+#: Characters on either side of an instance in which its context words are sought; longer words are no context.
+CONTEXT = 64
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -70,18 +82,26 @@ def _holds(kind: str, value: Column) -> Column:
 
 
 def _word(piece: Column, last: bool) -> Column:
-    """The last or first word of a piece of text, without case and with letters only."""
+    """The two words next to an instance, the nearest first: array of strings, without case.
+
+    A word is its letters, or its signs if it has none.
+    """
     near = F.substring(piece, -CONTEXT, CONTEXT) if last else F.substring(piece, 1, CONTEXT)
-    return F.lower(F.regexp_replace(F.regexp_extract(near, r"(\S+)\s*$" if last else r"^\s*(\S+)", 1), r"[^\p{L}]", ""))
+    words = F.filter(F.split(F.lower(near), r"\s+"), lambda w: w != "")
+    words = F.reverse(words) if last else words
+    letters = lambda w: F.regexp_replace(w, r"[^\p{L}^$#]", "")
+    return F.transform(F.slice(words, 1, 2), lambda w: F.when(letters(w) == "", w).otherwise(letters(w)))
 
 
 def found_spans(text: Column, kind: str, pattern: str, test: Callable[[Column], Column], near: int = 0) -> Column:
     """The matches that pass the test: array of (start, kind, end, value, left, right), in order.
 
-    With ``near`` also before, the so many characters in front.
+    left and right are the two words next to the match; ^ and $ stand for the
+    text's ends, # for another match.  With ``near`` also before and after, the
+    so many characters in front and behind.
     """
-    more = ",before:string" if near else ""
-    item = f"array<struct<start:int,kind:int,end:int,value:string,left:string,right:string{more}>>"
+    more = ",before:string,after:string" if near else ""
+    item = f"array<struct<start:int,kind:int,end:int,value:string,left:array<string>,right:array<string>{more}>>"
     code = KINDS.index(kind) if kind in KINDS else len(KINDS)
     none = F.array().cast(item)
 
@@ -92,8 +112,9 @@ def found_spans(text: Column, kind: str, pattern: str, test: Callable[[Column],
                 end = start + F.length(value)
                 span = F.struct(
                     start.alias("start"), F.lit(code).alias("kind"), end.alias("end"), value.alias("value"),
-                    _word(F.get(pieces, i), True).alias("left"), _word(F.get(pieces, i + 1), False).alias("right"),
-                    *([F.substring(F.get(pieces, i), -near, near).alias("before")] if near else []),
+                    _word(F.concat(F.when(i == 0, F.lit("^ ")).otherwise(F.lit("# ")), F.get(pieces, i)), True).alias("left"),
+                    _word(F.concat(F.get(pieces, i + 1), F.when(i == F.size(matches) - 1, F.lit(" $")).otherwise(F.lit(" #"))), False).alias("right"),
+                    *([F.substring(F.get(pieces, i), -near, near).alias("before"), F.substring(F.get(pieces, i + 1), 1, near).alias("after")] if near else []),
                 )
                 return F.struct(end.alias("at"), F.when(test(value), F.concat(state["spans"], F.array(span))).otherwise(state["spans"]).alias("spans"))
 
@@ -112,22 +133,42 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(ordered, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def _confident(edges: DataFrame, seeds: DataFrame) -> DataFrame:
-    """Patterns with their confidence by kind, after some turns of scoring the graph.
+def _patterns(rows: DataFrame) -> DataFrame:
+    """``rows`` with a row for each pattern of their words, and whether it has words on both sides."""
+    word = lambda side, i: F.coalesce(F.get(side, F.lit(i)), F.lit("~"))
+    l1, l2, r1, r2 = word("left", 0), word("left", 1), word("right", 0), word("right", 1)
+    form = lambda both, *parts: F.struct(F.concat_ws(" ", *parts).alias("pattern"), F.lit(both).alias("both"))
+    blank = F.lit("_")
+    return rows.withColumn("p", F.explode(F.array(form(True, l1, blank, r1), form(False, l2, l1, blank), form(False, blank, r1, r2)))).select("*", "p.pattern", "p.both").drop("p", "left", "right")
+
 
-    edges: distinct pattern, instance; seeds: distinct instance, kind.
+def _confident(edges: DataFrame, seeds: DataFrame, scratch: Scratch) -> DataFrame:
+    """Patterns with their confidence by kind, when scoring the graph in turns has settled.
+
+    edges: distinct pattern, both, instance; seeds: distinct instance, kind.
     """
-    totals = edges.groupBy("pattern").agg(F.count("*").alias("n"))
-    known = seeds.withColumn("conf", F.lit(1.0))
-    patterns = None
-    for turn in range(ROUNDS):
+    totals = scratch.write(edges.groupBy("pattern", "both").agg(F.count("*").alias("n")), "totals")
+    least = F.when(F.col("both"), LEAST_SUPPORT).otherwise(2 * LEAST_SUPPORT)
+    known = certain = seeds.withColumn("conf", F.lit(1.0))
+    before = -1.0
+    while True:
         held = edges.join(known, "instance").groupBy("pattern", "kind").agg(F.sum("conf").alias("mass"))
-        held = held.where(F.col("mass") >= LEAST_SUPPORT)
-        patterns = held.join(totals, "pattern").withColumn("conf", F.col("mass") / (F.col("n") + 1)).where(F.col("conf") >= LEAST_PATTERN).select("pattern", "kind", "conf")
-        if turn < ROUNDS - 1:
-            spread = edges.join(patterns, "pattern").groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.col("conf"))))).alias("conf"))
-            known = seeds.withColumn("conf", F.lit(1.0)).unionByName(spread).groupBy("instance", "kind").agg(F.max("conf").alias("conf"))
-    return patterns
+        scored = held.join(totals, "pattern").where(F.col("mass") >= least).withColumn("conf", F.col("mass") / (F.col("n") + 1))
+        patterns = scratch.write(scored.where(F.col("conf") >= LEAST_PATTERN).select("pattern", "kind", "conf"), "patterns")
+        state = patterns.agg(F.coalesce(F.sum("conf"), F.lit(0.0))).first()[0]
+        if state - before < SETTLED:
+            return patterns
+        before = state
+        spread = edges.join(patterns, "pattern").groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.col("conf"))))).alias("conf"))
+        known = certain.unionByName(spread.where(_plausible())).groupBy("instance", "kind").agg(F.max("conf").alias("conf"))
+
+
+def _plausible() -> Column:
+    """Whether ``instance`` looks like the kind numbered ``kind``."""
+    plausible = F.lit(False)
+    for code, k in enumerate(KINDS):
+        plausible = F.when(F.col("kind") == code, F.col("instance").rlike(PLAUSIBLE[k])).otherwise(plausible)
+    return plausible
 
 
 def personal_data(documents: DataFrame) -> DataFrame:
@@ -146,20 +187,16 @@ def personal_data(documents: DataFrame) -> DataFrame:
     base = {k: found_spans(text, k, PATTERNS[k], lambda v, k=k: _holds(k, v)) for k in KINDS}
     for k, mark in sign.items():
         base[k] = F.when(F.contains(text, F.lit(mark)), base[k]).otherwise(F.array())
-    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), *[base[k].alias(k) for k in KINDS], found_spans(text, "token", TOKEN, lambda v: F.length(_digits(v)) >= 4).alias("tokens"))
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), *[base[k].alias(k) for k in KINDS], found_spans(text, "token", CANDIDATE, lambda v: (F.length(_digits(v)) >= 7) | v.rlike("[A-Za-z]")).alias("tokens"))
     rows = scratch.write(rows, "spans")
     every = F.concat(*KINDS)
     seeds = rows.select(F.explode(every).alias("s")).select(F.col("s.left").alias("left"), F.col("s.right").alias("right"), F.col("s.value").alias("instance"), F.col("s.kind").alias("kind"))
     free = F.filter("tokens", lambda t: ~F.exists(every, lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
     tokens = rows.select("doc_id", "text_hash", F.explode(free).alias("t")).select("doc_id", "text_hash", F.col("t.start").alias("start"), F.col("t.end").alias("end"), F.col("t.left").alias("left"), F.col("t.right").alias("right"), F.col("t.value").alias("instance"))
-    pattern = lambda df: df.where("left <> '' and right <> ''").withColumn("pattern", F.concat_ws(" _ ", "left", "right"))
-    seeds, tokens = pattern(seeds), pattern(tokens)
-    edges = scratch.write(seeds.select("pattern", "instance").unionByName(tokens.select("pattern", "instance")).distinct(), "edges")
-    patterns = scratch.write(_confident(edges, seeds.select("instance", "kind").distinct()), "patterns")
-    plausible = F.lit(False)
-    for code, k in enumerate(KINDS):
-        plausible = F.when(F.col("kind") == code, F.col("instance").rlike(PLAUSIBLE[k])).otherwise(plausible)
-    scores = edges.join(patterns, "pattern").where(plausible).groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.col("conf"))))).alias("conf"))
+    edges = _patterns(seeds.drop("kind")).unionByName(_patterns(tokens.select("left", "right", "instance"))).distinct()
+    edges = scratch.write(edges, "edges")
+    patterns = _confident(edges, scratch.write(seeds.select("instance", "kind").distinct(), "seeds"), scratch)
+    scores = edges.join(patterns, "pattern").where(_plausible()).groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.col("conf"))))).alias("conf"))
     scores = scores.groupBy("instance").agg(F.max(F.struct("conf", F.negative("kind").alias("k"))).alias("best")).where(F.col("best.conf") >= LEAST_INSTANCE).select("instance", F.negative("best.k").alias("kind"))
     added = tokens.join(scores, "instance").select("doc_id", "text_hash", F.struct("start", "kind", "end").alias("s")).groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("s")).alias("added"))
     short = rows.select(

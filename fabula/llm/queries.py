@@ -31,7 +31,7 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.scan(_table(spark, sf_dir, "documents"), path="source")
+    found = secrets.scan(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "start", "end", F.sha2("value", 256).alias("value_sha256"), "score", "is_secret")
 
 
@@ -72,4 +72,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": linededup.ORACLE}
+    return {"op3_minhash": neardup.ORACLE, "op4_line_dedup": linededup.ORACLE, "op8_substrings": substrings.ORACLE, "op9_embeddings": embeddings.ORACLE}

@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import io
 import os
+import re
 import tempfile
 import time
 import uuid
@@ -36,14 +37,25 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
+def ship_file(spark: SparkSession, path: str) -> str:
+    """Send a file to the workers, once in a session; the name under which ``SparkFiles.get`` finds it there."""
+    key = f"{spark.sparkContext.applicationId}:{path}"
+    if key not in _SHIPPED:
+        spark.sparkContext.addFile(path)
+        _SHIPPED.add(key)
+    return os.path.basename(path)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all machines share, named by ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (tests, local mode) a temporary folder
-    is chosen and set.
+    Only where that setting is absent in local mode (tests) a temporary folder
+    is chosen and set; on a cluster its absence is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         found = "file://" + tempfile.mkdtemp(prefix="fabula-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -64,7 +76,7 @@ class Scratch:
     def write(self, df: DataFrame, name: str = "t") -> DataFrame:
         self._n += 1
         path = f"{self.root}/{self._n:03d}-{name}"
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", "zstd").option("maxRecordsPerFile", 0).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._fabula_path = path
         return out

@@ -1,11 +1,14 @@
 """Secret scans: pattern candidates, then a random forest that removes false positives.
 
-Candidates are long runs of key-like characters with a digit.  A random forest
-(30 trees of depth 6) tells secrets from hashes, ids, numbers and placeholders
-by length, character transitions, dictionary coverage, the path and the
-neighbouring words.  It is trained from labelled findings: by default a set made
-by rule (below), or any table of value, before, path and label.  Everything runs
-in DataFrame functions and the JVM's forest.
+Candidates are runs of 16 and more key-like characters (with single dots inside,
+as in tokens of several parts) that hold a digit, and whatever is assigned to a
+name for secrets (``password = ...``), of 6 characters and more, whatever its
+signs.  A random forest (30 trees of depth 6) tells secrets from hashes, ids,
+numbers, words and placeholders by length, character transitions, dictionary
+coverage, the path and the neighbouring words on both sides.  It is trained from
+labelled findings: any table of value, before, after, path and label, or by
+default a set made by rule from families of forms (below).  Everything runs in
+DataFrame functions and the JVM's forest.
 """
 
 from __future__ import annotations
@@ -20,9 +23,17 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from fabula.llm.pii import found_spans
 from fabula.llm.runtime import keep_columns
 
-LEAST_LENGTH = 16
-CANDIDATE = r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/=_-]{16,}+"
-CONTEXT = 32
+LEAST_LENGTH = 6
+_KEY_LIKE = "A-Za-z0-9+/=_-"
+_NAMES = "passw(?:or)?d|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential"
+#: A run of key-like characters, or a value that is assigned to one of the names.
+CANDIDATE = (
+    rf"(?<=[:=][\"'` ]{{0,2}})(?<=(?i:{_NAMES})[\"' ]{{0,2}}[:=][\"'` ]{{0,2}})[^\s\"'`<>:=][^\s\"'`<>]{{5,}}+"
+    rf"|(?<![{_KEY_LIKE}])(?:[{_KEY_LIKE}]|(?<=[A-Za-z0-9_-])\.(?=[A-Za-z0-9_-]{{4}})){{16,}}+"
+)
+ASSIGNED = rf"(?i)(?:{_NAMES})[\"' ]{{0,2}}[:=][\"'` ]{{0,2}}$"
+#: Characters on either side in which neighbouring words are sought.
+CONTEXT = 48
 TREES, DEPTH = 30, 6
 #: Labelled findings used for training, at most.
 TRAIN_ROWS = 20_000
@@ -41,12 +52,12 @@ DICTIONARY = (
     "static status step storage store stream string style submit system table target task temp test text thread time title token total track type "
     "unique update upload user value version view web widget width window work year zone"
 ).split()
-FEATURES = ("size", "distinct", "digits", "upper", "symbols", "transitions", "doubles", "letter_run", "hex", "coverage", "key_word", "plain_word", "assigned", "quoted", "test_path")
+FEATURES = ("size", "distinct", "digits", "upper", "symbols", "transitions", "doubles", "letter_run", "hex", "coverage", "key_word", "plain_word", "assigned", "quoted", "after_key", "after_plain", "test_path")
 
 
 def with_features(rows: DataFrame) -> DataFrame:
-    """``rows`` (value, before, path) with the columns of FEATURES."""
-    v, before = F.col("value"), F.coalesce("before", F.lit(""))
+    """``rows`` (value, before, after, path) with the columns of FEATURES."""
+    v, before, after = F.col("value"), F.coalesce("before", F.lit("")), F.coalesce("after", F.lit(""))
     size = F.length(v)
     count = lambda pattern: F.regexp_count(v, F.lit(pattern)).cast("double")
     known = "|".join(sorted((w for w in DICTIONARY if len(w) > 3), key=lambda w: (-len(w), w)))
@@ -67,18 +78,22 @@ def with_features(rows: DataFrame) -> DataFrame:
         "plain_word": flag(before.rlike(PLAIN_WORDS)),
         "assigned": flag(before.rlike(r"[=:]\s*[\"'`]?$")),
         "quoted": flag(before.rlike(r"[\"'`]$")),
+        "after_key": flag(after.rlike(KEY_WORDS)),
+        "after_plain": flag(after.rlike(PLAIN_WORDS)),
         "test_path": flag(F.col("path").rlike(PATH_WORDS)),
     }
     return rows.withColumns(columns)
 
 
 def labelled_findings(spark: SparkSession, each: int = 250) -> DataFrame:
-    """Findings made by rule: value, before, path, label; ``each`` of every form.
-
-    Secrets: random hex, base64 and alphanumeric strings in key-like contexts or
-    assigned in quotes.  Others: the same strings after words for hashes, plain
-    numbers, identifiers and paths of words with a number, dates, repeated
-    placeholders.
+    """Findings made by rule: value, before, after, path, label, family; ``each`` of every form.
+
+    Families differ in what their values are made of, or (``other``) in what
+    surrounds them, so that a forest can be tested on forms it hasn't seen.  Secrets: random hex,
+    base64 and alphanumeric strings, tokens of several parts and passwords in
+    key-like contexts, or assigned in quotes.  Others: the same strings among words
+    for hashes, plain numbers, identifiers and paths of words with a number, dates,
+    long words, repeated placeholders, and strings in test files.
     """
     i = F.col("id")
     digest = lambda salt: F.sha2(F.concat_ws("-", F.lit(salt), i.cast("string")), 256)
@@ -87,39 +102,59 @@ def labelled_findings(spark: SparkSession, each: int = 250) -> DataFrame:
     base = F.regexp_replace(F.base64(F.unhex(digest("b"))), "[+/=]", "x")
     coded = F.substring(base, F.lit(1), pick([20, 24, 32, 40], "m"))
     word = lambda salt: pick(DICTIONARY, salt)
+    cut = lambda text, a, n: F.substring(text, a, n)
+    number = F.lpad(F.abs(F.xxhash64(i, F.lit("d"))).cast("string"), 18, "7")
+    parted = F.concat_ws(".", cut(base, 1, 18), F.regexp_replace(F.base64(F.unhex(digest("p"))), "[+/=]", "Q"), cut(F.regexp_replace(F.base64(F.unhex(digest("q"))), "[+/=]", "z"), 1, 27))
+    passed = F.concat(F.initcap(word("w")), pick(["!", "$", "#", "@", "%", "&"], "s"), cut(number, 1, 4), pick(["x", "Q", "!", "z9"], "t"))
     keys = pick(['token = "', "api_key: ", 'secret="', "password = '", "Authorization: Bearer ", "access_key=", 'auth_token: "', "private key "], "k")
+    other_keys = pick(['client_secret": "', "export AUTH=", "credential ", "--password=", "pwd: ", 'apikey => "'], "o")
     plain = pick(["commit ", "sha256: ", "md5 = ", "checksum ", "revision ", "digest: ", "version ", "uuid "], "p")
     prose = pick(["the ", "and in ", "of ", "see ", "| ", "und ", "les ", "del "], "q")
-    number = F.lpad(F.abs(F.xxhash64(i, F.lit("d"))).cast("string"), 18, "7")
+    ends = pick(['"', "'\n", " and then", ".", "\n", ""], "e")
+    nothing, after_key, after_plain = F.lit(" "), pick([" is the token", " as password", " (secret)"], "ak"), pick([" is the checksum", " (commit)", " as example"], "ap")
+    slug = lambda gap, n: F.concat_ws(gap, word("a"), word("b"), word("c"), cut(number, 1, n))
+    long_word = F.concat(word("a"), word("b"), word("c"), word("w"))
     forms = [
-        (hexed, keys, 1), (coded, keys, 1), (F.upper(coded), keys, 1), (hexed, F.concat(word("w"), F.lit(' = "')), 1), (coded, F.concat(word("w"), F.lit(': "')), 1),
-        (F.concat(F.lit("AKIA"), F.upper(F.substring(base, 1, 16))), prose, 1), (F.concat(F.lit("ghp_"), F.substring(base, 1, 36)), prose, 1),
-        (hexed, plain, 0), (hexed, F.concat(plain, F.lit('"')), 0), (F.substring(number, 1, 16), prose, 0), (number, plain, 0), (F.substring(number, 1, 16), keys, 0),
-        (F.concat_ws("_", word("a"), word("b"), word("c"), F.substring(number, 1, 2)), prose, 0), (F.concat_ws("-", word("a"), word("b"), word("c"), F.substring(number, 1, 4)), keys, 0),
-        (F.concat_ws("/", F.lit(""), word("a"), word("b"), F.concat(word("c"), F.substring(number, 1, 3))), prose, 0),
-        (F.concat(F.repeat(F.substring(number, 1, 1), 12), F.lit("-0000")), keys, 0), (F.concat(F.lit("2024-01-"), F.substring(number, 1, 2), F.lit("-12-30-00")), prose, 0),
-        (F.concat(F.lit("your_"), word("a"), F.lit("_key_here_"), F.substring(number, 1, 1)), keys, 0),
+        ("hex", hexed, keys, ends, 1), ("other", hexed, other_keys, ends, 1), ("hex", hexed, plain, ends, 0), ("hex", hexed, F.concat(plain, F.lit('"')), ends, 0), ("hex", hexed, F.concat(word("w"), F.lit(' = "')), ends, 1),
+        ("code", coded, keys, ends, 1), ("code", F.upper(coded), keys, ends, 1), ("code", coded, F.concat(word("w"), F.lit(': "')), ends, 1), ("code", coded, plain, ends, 0), ("other", coded, other_keys, ends, 1),
+        ("prefixed", F.concat(F.lit("AKIA"), F.upper(cut(base, 1, 16))), prose, nothing, 1), ("prefixed", F.concat(F.lit("ghp_"), cut(base, 1, 36)), prose, nothing, 1),
+        ("after", coded, prose, after_key, 1), ("after", hexed, prose, after_key, 1), ("after", hexed, prose, after_plain, 0), ("after", coded, prose, after_plain, 0),
+        ("parts", parted, keys, ends, 1), ("parts", parted, prose, nothing, 1), ("parts", F.concat_ws(".", word("a"), word("b"), word("c"), slug("-", 3)), prose, nothing, 0),
+        ("password", passed, keys, ends, 1), ("other", passed, other_keys, ends, 1), ("password", word("w"), keys, ends, 0), ("other", F.concat(word("a"), F.lit("."), word("b")), other_keys, ends, 0),
+        ("number", cut(number, 1, 16), prose, nothing, 0), ("number", number, plain, ends, 0), ("number", cut(number, 1, 16), keys, ends, 0), ("number", cut(number, 1, 6), keys, ends, 0),
+        ("words", slug("_", 2), prose, nothing, 0), ("words", slug("-", 4), keys, ends, 0), ("words", F.concat(F.lit("/"), slug("/", 3)), prose, nothing, 0), ("words", long_word, keys, ends, 0),
+        ("dummy", F.concat(F.repeat(cut(number, 1, 1), 12), F.lit("-0000")), keys, ends, 0), ("dummy", F.concat(F.lit("2024-01-"), cut(number, 1, 2), F.lit("-12-30-00")), prose, nothing, 0),
+        ("dummy", F.concat(F.lit("your_"), word("a"), F.lit("_key_here_"), cut(number, 1, 1)), keys, ends, 0), ("dummy", F.repeat(F.lit("x"), 20), other_keys, ends, 0), ("dummy", F.lit("changeme"), keys, ends, 0),
     ]
     path = pick(["src/app/main", "config/settings", "deploy/env", "notes", "lib/core"], "path")
-    made = [spark.range(each).withColumn("id", i + n * each).select(value.alias("value"), before.alias("before"), path.alias("path"), F.lit(label).alias("label")) for n, (value, before, label) in enumerate(forms)]
-    in_tests = [spark.range(each).withColumn("id", i + 7_000_000).select(coded.alias("value"), keys.alias("before"), F.lit("tests/fixtures/example").alias("path"), F.lit(0).alias("label"))]
-    return reduce(DataFrame.unionByName, made + in_tests).where(F.length("value") >= LEAST_LENGTH)
+    at = lambda n: spark.range(each).withColumn("id", i + n * each)
+    made = [at(n).select(value.alias("value"), before.alias("before"), after.alias("after"), path.alias("path"), F.lit(label).alias("label"), F.lit(family).alias("family")) for n, (family, value, before, after, label) in enumerate(forms)]
+    in_tests = at(7_000_000).select(coded.alias("value"), keys.alias("before"), ends.alias("after"), F.lit("tests/fixtures/example").alias("path"), F.lit(0).alias("label"), F.lit("tests").alias("family"))
+    return reduce(DataFrame.unionByName, [*made, in_tests]).where(F.length("value") >= LEAST_LENGTH)
 
 
 def train(findings: DataFrame, rows: int = TRAIN_ROWS) -> RandomForestClassificationModel:
-    """The forest from labelled findings: value, before, path, label (0 or 1); at most ``rows``, those of the least hash."""
-    known = findings.where("value is not null and value <> '' and label in (0, 1)").select("value", "before", "path", F.col("label").cast("double").alias("label"))
+    """The forest from labelled findings: value, before, after, path, label (0 or 1); at most ``rows``, those of the least hash."""
+    known = findings.where("value is not null and value <> '' and label in (0, 1)").select("value", "before", "after", "path", F.col("label").cast("double").alias("label"))
     chosen = with_features(known.orderBy(F.xxhash64("value", "before"), "value").limit(rows))
     ready = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(chosen).select("label", "features")
     return RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=7, subsamplingRate=0.8).fit(ready)
 
 
 def candidates(documents: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, start, end, value, before, path of every candidate; positions in code points."""
+    """doc_id, of (the hash of the text), start, end, value, before, after, path of every candidate; positions in code points."""
     where = F.col(path).cast("string") if path else F.lit("")
-    spans = found_spans(F.coalesce("text", F.lit("")), "secret", CANDIDATE, lambda v: v.rlike("[0-9]"), near=CONTEXT)
-    rows = keep_columns(documents, "doc_id", "text", *([path] if path else [])).select("doc_id", where.alias("path"), F.explode(spans).alias("s"))
-    return rows.select("doc_id", F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.col("s.value").alias("value"), F.col("s.before").alias("before"), "path")
+    spans = found_spans(F.coalesce("text", F.lit("")), "secret", CANDIDATE, lambda v: F.lit(True), near=CONTEXT)
+    rows = keep_columns(documents, "doc_id", "text", *([path] if path else [])).select("doc_id", F.xxhash64("text").alias("of"), where.alias("path"), F.explode(spans).alias("s"))
+    rows = rows.where(F.col("s.value").rlike("[0-9]") | F.col("s.before").rlike(ASSIGNED))
+    return rows.select("doc_id", "of", F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.col("s.value").alias("value"), F.col("s.before").alias("before"), F.col("s.after").alias("after"), "path")
+
+
+def _scored(documents: DataFrame, findings: DataFrame | None, path: str | None) -> DataFrame:
+    model = train(labelled_findings(documents.sparkSession) if findings is None else findings)
+    ready = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(with_features(candidates(documents, path)))
+    scored = model.transform(ready).withColumn("score", F.round(F.get(vector_to_array("probability"), F.lit(1)), 6))
+    return scored.select("doc_id", "of", "start", "end", "value", "score", (F.col("score") >= 0.5).alias("is_secret"))
 
 
 def scan(documents: DataFrame, findings: DataFrame | None = None, path: str | None = None) -> DataFrame:
@@ -129,17 +164,18 @@ def scan(documents: DataFrame, findings: DataFrame | None = None, path: str | No
     empty texts have no candidates.  Repeated rows give theirs each.  An empty
     table gives no rows.
     """
-    model = train(labelled_findings(documents.sparkSession) if findings is None else findings)
-    rows = with_features(candidates(documents, path))
-    ready = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows)
-    scored = model.transform(ready).withColumn("score", F.round(F.get(vector_to_array("probability"), F.lit(1)), 6))
-    return scored.select("doc_id", "start", "end", "value", "score", (F.col("score") >= 0.5).alias("is_secret"))
+    return _scored(documents, findings, path).drop("of")
 
 
 def redacted(documents: DataFrame, findings: DataFrame | None = None, path: str | None = None, mark: str = "[SECRET]") -> DataFrame:
-    """doc_id and text with the secrets' values replaced; a doc_id stands for one text."""
-    hits = scan(documents, findings, path).where("is_secret").groupBy("doc_id").agg(F.collect_set("value").alias("hits"))
-    rows = keep_columns(documents, "doc_id", "text").join(hits, "doc_id", "left")
+    """doc_id and text of every row with the secrets' values replaced.
+
+    Each row loses the secrets of its own text, also where doc_ids repeat or are
+    null.  Null and empty texts stay; an empty table gives no rows.
+    """
+    hits = _scored(documents, findings, path).where("is_secret").groupBy(F.col("doc_id").alias("id"), "of").agg(F.collect_set("value").alias("hits"))
+    rows = keep_columns(documents, "doc_id", "text").withColumn("own", F.xxhash64("text"))
+    rows = rows.join(hits, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("own") == F.col("of")), "left")
     longest_first = F.array_sort(F.col("hits"), lambda a, b: F.when(F.length(a) > F.length(b), -1).when(F.length(a) < F.length(b), 1).otherwise(0))
     clean = F.aggregate(longest_first, F.col("text"), lambda t, v: F.replace(t, v, F.lit(mark)))
     return rows.select("doc_id", F.when(F.col("hits").isNull(), F.col("text")).otherwise(clean).alias("text"))

@@ -38,6 +38,8 @@ FLUSH = 400_000
 GROUP_ANCHORS, GROUP_TEXT, GROUP_PIECES = 500_000, 4 << 20, 1 << 20
 
 _POS = np.uint64((1 << 22) - 1)
+#: Places in a text carry bits of the text's hash above these, so that two texts under one doc_id keep apart.
+PLACE_BITS, TAG_BITS = 40, 22
 
 
 def segments(offsets: np.ndarray, length: int, most: int = K.SLICE_BYTES) -> Iterator[list[tuple[int, int, int]]]:
@@ -270,6 +272,7 @@ def removed_runs(docs: DataFrame, scratch: Scratch, length: int, groups: int) ->
         if texts.num_rows and found.num_rows:
             offsets, data = K.string_column(texts.column("text"))
             ids = np.asarray(texts.column("doc_id").combine_chunks())
+            tags = np.asarray(texts.column("tag").combine_chunks())
             d = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in found.column("docs")])
             k = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in found.column("keys")])
             known = np.unique(K.mix(K.mix(d.view(np.uint64)) + k))
@@ -282,7 +285,7 @@ def removed_runs(docs: DataFrame, scratch: Scratch, length: int, groups: int) ->
                 hit = np.flatnonzero(known[np.minimum(at, len(known) - 1)] == pair)
                 raw = part.tobytes()
                 strings += [raw[a : a + m + length - 1] for a, m in zip(first[hit].tolist(), n[hit].tolist())]
-                for x, y in zip(taken, (K.mix(key[hit]) % np.uint64(buckets), ids[row[hit]], start[hit])):
+                for x, y in zip(taken, (K.mix(key[hit]) % np.uint64(buckets), ids[row[hit]], start[hit] + tags[row[hit]])):
                     x.append(y)
             if strings:
                 b, d, s = (np.concatenate(x).astype(np.int64) for x in taken[:3])
@@ -369,9 +372,9 @@ def without_repeats(documents: DataFrame, length: int = LENGTH, texts: bool = Tr
 
     documents: doc_id (long) and text, taken as UTF-8 bytes; other columns are
     ignored.  Null and empty texts, and texts of fewer than ``length`` bytes,
-    lose nothing.  A doc_id stands for one text: rows that repeat it with the
-    same text each get its result and don't remove one another.  Rows without a
-    doc_id lose nothing and take nothing from others.  An empty table gives no rows.
+    lose nothing.  Rows that repeat a doc_id don't remove one another's bytes, and
+    each gets the result of its own text.  Rows without a doc_id lose nothing and
+    take nothing from others.  An empty table gives no rows.
     """
     if length < GRAM + 8:
         raise ValueError(f"length must be at least {GRAM + 8}")
@@ -380,22 +383,25 @@ def without_repeats(documents: DataFrame, length: int = LENGTH, texts: bool = Tr
     scratch = Scratch(spark, "substrings")
     docs = keep_columns(documents, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     groups = _odd(max(shuffle_parts(spark), plan_bytes(docs) // GROUP_TEXT))
-    docs = docs.withColumn("g", F.coalesce(F.pmod("doc_id", F.lit(groups)), F.lit(0)).cast("int"))
+    tag = F.shiftleft(F.pmod(F.xxhash64("text"), F.lit(1 << TAG_BITS)), PLACE_BITS)
+    # rows without a doc_id are spread by their texts
+    docs = docs.withColumns({"tag": tag, "g": F.pmod(F.coalesce("doc_id", F.xxhash64("text")), F.lit(groups)).cast("int")})
     runs = removed_runs(docs.where("doc_id is not null"), scratch, length, groups)
 
     def finish(own: pa.Table, found: pa.Table) -> pa.Table:
         offsets, data = K.string_column(own.column("text")) if own.num_rows else (np.zeros(1, np.int64), np.zeros(0, np.uint8))
         if found.num_rows:
             d, s, e = (np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in found.column(c)]) for c in ("docs", "starts", "ends"))
-            order = np.argsort(d, kind="stable")
+            order = np.lexsort((s, d))
             d, s, e = d[order], s[order], e[order]
         else:
             d = s = e = np.zeros(0, np.int64)
         kept, digests, sizes, gone, spans = [], [], [], [], []
-        for i, doc in enumerate(own.column("doc_id").to_pylist()):
+        for i, (doc, tag) in enumerate(zip(own.column("doc_id").to_pylist(), own.column("tag").to_pylist())):
             raw = data[offsets[i] : offsets[i + 1]].tobytes()
             a, b = (np.searchsorted(d, doc, "left"), np.searchsorted(d, doc, "right")) if doc is not None else (0, 0)
-            rest, n, k = kept_bytes(raw, s[a:b], e[a:b])
+            a, b = a + np.searchsorted(s[a:b], [tag, tag + (1 << PLACE_BITS)])
+            rest, n, k = kept_bytes(raw, s[a:b] - tag, e[a:b] - tag)
             kept.append(rest if texts else None)
             digests.append(hashlib.sha256(rest).hexdigest())
             sizes.append(len(raw))
@@ -404,3 +410,19 @@ def without_repeats(documents: DataFrame, length: int = LENGTH, texts: bool = Tr
         return pa.table([own.column("doc_id"), pa.array(kept, pa.binary()), pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array(digests, pa.string())], names=["doc_id", "kept", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     return docs.groupBy("g").cogroup(runs.groupBy("g")).applyInArrow(finish, "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
+#: The same for the query over ``documents``, in DuckDB, on the hexadecimal form of the bytes.
+ORACLE = """
+WITH d AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS MATERIALIZED (SELECT doc_id, pos, hash(substring(h, pos * 2 + 1, 100)) AS k FROM (SELECT doc_id, h, unnest(range(0, greatest(length(h) // 2 - 49, 0))) AS pos FROM d)),
+f AS (SELECT k, min(doc_id) AS first FROM w GROUP BY k),
+g AS (SELECT w.doc_id, pos FROM w JOIN f ON w.k = f.k WHERE first < w.doc_id),
+r AS (SELECT doc_id, pos, CASE WHEN pos <= lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) + 50 THEN 0 ELSE 1 END AS fresh FROM g),
+s AS (SELECT doc_id, min(pos) AS lo, max(pos) + 50 AS hi FROM (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM r) GROUP BY doc_id, run),
+e AS (SELECT *, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS done FROM s),
+p AS (SELECT e.doc_id, string_agg(substring(h, done * 2 + 1, (lo - done) * 2), '' ORDER BY lo) AS front, max(hi) AS last, sum(hi - lo) AS gone, count(*) AS spans FROM e JOIN d ON e.doc_id = d.doc_id GROUP BY e.doc_id)
+SELECT d.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans,
+  sha256(unhex(coalesce(front, '') || substring(h, coalesce(last, 0) * 2 + 1))) AS kept_sha256
+FROM d LEFT JOIN p ON d.doc_id = p.doc_id
+"""

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from fabula.llm import kernels as K
-from fabula.llm.runtime import keep_columns, ship
+from fabula.llm.runtime import Scratch, keep_columns, ship
 
 BITS = 20
 PREFIXES = (4, 5, 6, 7)
@@ -72,41 +72,34 @@ def noisy_or(logits: np.ndarray, row: np.ndarray, n: int, bias: float) -> np.nda
     return -np.expm1(-quiet)
 
 
-def _screened(bags: list[tuple[int, np.ndarray, np.ndarray]], bits: int, z: float) -> np.ndarray:
-    """Features that positive bags hold more often than chance allows, by a two-sample z of at least ``z``."""
-    counts = np.zeros((2, 1 << bits))
-    for y, ids, _ in bags:
-        counts[y, np.unique(ids)] += 1
-    n0, n1 = (max(1, sum(b[0] == y for b in bags)) for y in (0, 1))
-    r0, r1 = (counts[0] + 0.5) / (n0 + 1), (counts[1] + 0.5) / (n1 + 1)
-    pooled = (counts.sum(axis=0) + 1) / (n0 + n1 + 2)
-    return (r1 - r0 >= z * np.sqrt(pooled * (1 - pooled) * (1 / n0 + 1 / n1))) & (counts[1] >= 3)
+def telling(counts: DataFrame, documents: tuple[int, int], z: float) -> np.ndarray:
+    """Features that positive documents hold more often than chance allows, by a two-sample z of at least ``z``; ascending.
+
+    counts: feature, n0, n1 (documents of either label that hold it); documents: how many there are of either label.
+    """
+    n0, n1 = (max(1, n) for n in documents)
+    r0, r1 = (F.col("n0") + 0.5) / (n0 + 1), (F.col("n1") + 0.5) / (n1 + 1)
+    pooled = (F.col("n0") + F.col("n1") + 1) / (n0 + n1 + 2)
+    kept = counts.where((r1 - r0 >= z * F.sqrt(pooled * (1 - pooled) * (1 / n0 + 1 / n1))) & (F.col("n1") >= 3))
+    return np.sort(np.array([r.feature for r in kept.select("feature").collect()], np.int64))
 
 
-def fit(bags: list[tuple[int, np.ndarray, np.ndarray]], prior: float = 0.5, bits: int = BITS, rounds: int = 300, decay: float = 1e-5, z: float = 4.0) -> tuple[np.ndarray, float]:
-    """Weights and bias from bags (label, feature ids [words, k], sentence of each word).
+def fit(bags: list[tuple[int, int, np.ndarray, np.ndarray]], known: np.ndarray, prior: float = 0.5, bits: int = BITS, rounds: int = 300, decay: float = 1e-5) -> tuple[np.ndarray, float]:
+    """Weights and bias from bags (label, number of sentences, places in ``known`` of the features, sentence of each).
 
     Maximises the log-likelihood of the document labels under noisy-or by
     full-batch Adam; ``prior`` is the share of label 1 among all labelled rows,
-    whatever it is in the sample.  Features that don't pass the screen keep the
-    weight 0.
+    whatever it is in the sample.  Features that aren't ``known`` keep the weight 0.
     """
     if not bags:
         return np.zeros(1 << bits, np.float32), -4.0
     labels = np.array([b[0] for b in bags], float)
-    known = _screened(bags, bits, z)
-    compact = np.cumsum(known) - 1
-    cols, rws, row, base = [], [], [], 0
-    for k, (_, ids, sentence) in enumerate(bags):
-        own = sentence - sentence[0] if len(sentence) else sentence
-        n = int(own[-1]) + 1 if len(own) else 1
-        use = known[ids]
-        cols.append(compact[ids[use]])
-        rws.append(np.repeat(own + base, ids.shape[1]).reshape(ids.shape)[use] if len(own) else own)
-        row.append(np.full(n, k))
-        base += n
-    cols, rws, row = (np.concatenate(x).astype(np.int64) for x in (cols, rws, row))
-    n_cols, n_rows, n_docs = int(known.sum()), base, len(bags)
+    sizes = np.array([b[1] for b in bags])
+    base = np.cumsum(sizes) - sizes
+    cols = np.concatenate([b[2] for b in bags]).astype(np.int64)
+    rws = np.concatenate([b[3] + at for b, at in zip(bags, base)]).astype(np.int64)
+    row = np.repeat(np.arange(len(bags)), sizes)
+    n_cols, n_rows, n_docs = len(known), len(row), len(bags)
     w, bias = np.zeros(n_cols), -6.0
     m, v, mb, vb = np.zeros(n_cols), np.zeros(n_cols), 0.0, 0.0
     share = np.where(labels == 1, prior / max(labels.sum(), 1), (1 - prior) / max((1 - labels).sum(), 1))
@@ -128,36 +121,56 @@ def fit(bags: list[tuple[int, np.ndarray, np.ndarray]], prior: float = 0.5, bits
     return out, float(bias)
 
 
-def train(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[np.ndarray, float]:
+def train(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, z: float = 4.0) -> tuple[np.ndarray, float]:
     """Fits on a bounded sample: at most ``rows`` labelled doc_ids of either label, those of the least hash.
 
     documents: doc_id, text; labels: doc_id, toxic (one row per doc_id).  The
     sample is chosen from the labels alone, so its ids (at most 2 * rows) are
-    broadcast and the texts are read once, whole.
+    broadcast and the texts are read once, whole; of rows that repeat a doc_id the
+    one whose text has the least hash teaches.  Features are counted and screened
+    where the texts are; the driver gets the places of those that pass.
     """
     spark = documents.sparkSession
     ship(spark)
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("y")).withColumn("h", F.xxhash64("doc_id"))
     size = known.agg(F.count("*").alias("n"), F.sum("y").alias("positive")).first()
     ids = known.where("y = 1").orderBy("h", "doc_id").limit(rows).unionByName(known.where("y = 0").orderBy("h", "doc_id").limit(rows))
-    sample = keep_columns(documents, "doc_id", "text").join(F.broadcast(ids.select("doc_id", "y")), "doc_id").select("y", "text").limit(4 * rows)
+    taught = keep_columns(documents, "doc_id", "text").join(F.broadcast(ids.select("doc_id", "y")), "doc_id")
+    taught = taught.groupBy("doc_id").agg(F.max("y").alias("y"), F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t")).select("y", F.coalesce("t.text", F.lit("")).alias("text"))
+    sample = Scratch(spark, "toxicity").write(taught, "sample")
 
-    def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def documents_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         for batch in batches:
             offsets, data = K.string_column(batch.column("text"))
-            y = batch.column("y").to_pylist()
-            for i in range(len(y)):
+            for i, y in enumerate(np.asarray(batch.column("y")).tolist()):
                 part = data[offsets[i] : offsets[i + 1]]
-                ids, sentence, _, _ = sentence_features(part, np.array([0, len(part)]))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([y[i]], pa.int32()), pa.array([ids.astype(np.int32).tobytes()], pa.binary()), pa.array([sentence.astype(np.int32).tobytes()], pa.binary())],
-                    ["y", "ids", "sentence"],
-                )
+                found, sentence, _, _ = sentence_features(part, np.array([0, len(part)]))
+                yield y, found, sentence
 
-    found = sample.mapInArrow(bags, "y int, ids binary, sentence binary").toLocalIterator()
-    k = 1 + len(PREFIXES)
-    taken = [(r.y, np.frombuffer(r.ids, np.int32).reshape(-1, k), np.frombuffer(r.sentence, np.int32)) for r in found]
-    return fit(taken, prior=(size.positive or 0) / max(size.n, 1))
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((2, 1 << BITS), np.int64)
+        for y, found, _ in documents_of(batches):
+            held[y, np.unique(found)] += 1
+        at = np.flatnonzero(held.any(axis=0))
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(held[0, at]), pa.array(held[1, at])], ["feature", "n0", "n1"])
+
+    counts = sample.mapInArrow(count, "feature long, n0 long, n1 long").groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    number = {r.y: r["count"] for r in sample.groupBy("y").count().collect()}
+    features = telling(counts, (number.get(0, 0), number.get(1, 0)), z)
+    sent = spark.sparkContext.broadcast(features)
+
+    def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = np.full(1 << BITS, -1, np.int32)
+        place[sent.value] = np.arange(len(sent.value))
+        for y, found, sentence in documents_of(batches):
+            own = place[found]
+            use = own >= 0
+            at = np.repeat(sentence.astype(np.int32), found.shape[1]).reshape(found.shape)[use]
+            n = int(sentence[-1]) + 1 if len(sentence) else 1
+            yield pa.RecordBatch.from_arrays([pa.array([y], pa.int32()), pa.array([n], pa.int32()), pa.array([own[use].tobytes()], pa.binary()), pa.array([at.tobytes()], pa.binary())], ["y", "n", "features", "sentence"])
+
+    taken = sample.mapInArrow(bags, "y int, n int, features binary, sentence binary").toLocalIterator()
+    return fit([(r.y, r.n, np.frombuffer(r.features, np.int32), np.frombuffer(r.sentence, np.int32)) for r in taken], features, prior=(size.positive or 0) / max(size.n, 1))
 
 
 def _scores(texts: pa.Array, weights: np.ndarray, bias: float) -> np.ndarray:
@@ -188,7 +201,11 @@ def score(documents: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
 
 
 def without_toxic(documents: DataFrame, model: tuple[np.ndarray, float], threshold: float = 0.5) -> DataFrame:
-    """The rows of ``documents`` that score below the threshold, with all their columns; nothing is shuffled."""
+    """The rows of ``documents`` that score below the threshold, with all their columns; nothing is shuffled.
+
+    Null and empty texts are scored as a sentence without features; repeated rows
+    stay or go together; an empty table gives none.
+    """
     spark = documents.sparkSession
     ship(spark)
     held = spark.sparkContext.broadcast(model)
@@ -201,7 +218,10 @@ def without_toxic(documents: DataFrame, model: tuple[np.ndarray, float], thresho
 
 
 def offending_sentences(documents: DataFrame, model: tuple[np.ndarray, float], threshold: float = 0.5) -> DataFrame:
-    """Sentences whose own probability reaches the threshold: doc_id, sentence, score."""
+    """Sentences whose own probability reaches the threshold: doc_id, sentence, score.
+
+    Null and empty texts have none; repeated rows give theirs each.
+    """
     spark = documents.sparkSession
     ship(spark)
     held = spark.sparkContext.broadcast(model)
