@@ -20,30 +20,51 @@ MIX = {"most_ratio": 1.25, "budget": "cover"}
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is below 0.5; trained from all labelled documents of the folder."""
+    """Documents whose toxicity score is below 0.5; trained from labelled documents of the folder.
+
+    Null and empty texts are scored as a sentence without features, and stay if
+    that is below 0.5; repeated rows stay or go together; an empty table stays so.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.train(docs, toxicity.teaching_labels(labels))
     return toxicity.without_toxic(docs, model)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: that of the smallest doc_id."""
+    """One document of each group of near copies: that of the smallest doc_id.
+
+    Rows that share a doc_id are one document and stay or go together.  Null and
+    empty texts are no copies, and rows without a doc_id stay.
+    """
     kept = neardup.near_duplicates(docs, **NEAR).where("not kept").select(F.col("doc_id").alias("__copy")).distinct()
     return docs.join(kept, docs["doc_id"] == kept["__copy"], "left_anti")
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item within 10 % of edits."""
+    """Documents that hold no benchmark item within 10 % of edits.
+
+    Null and empty texts stay; repeated rows stay or go together; without items
+    all rows stay.
+    """
     return decontaminate.decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document once, and documents of small sources again, up to their weights."""
+    """Every document once, and documents of small sources again, up to their weights.
+
+    Rows without a source are a source of their own; null and empty texts have no
+    tokens and stay once or as often as their source's passes; equal rows are
+    treated alike.
+    """
     return mixing.mixed_rows(docs, **MIX)
 
 
 def training_order(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every sequence at its slot."""
+    """Token ids of every sequence at its slot.
+
+    Null and empty texts are one sequence of the end token; repeated rows give
+    their sequences each; a null doc_id sorts first.
+    """
     return tokenout.training_order(docs)
 
 
@@ -60,7 +81,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage over ``documents`` of the folder."""
+    """The rows of the last stage over ``documents`` of the folder; an empty table gives none."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     scratch = Scratch(spark, "pipeline")
     for k, (name, stage) in enumerate(STAGES):
