@@ -382,7 +382,7 @@ def without_repeats(documents: DataFrame, length: int = LENGTH, texts: bool = Tr
     ship(spark)
     scratch = Scratch(spark, "substrings")
     docs = keep_columns(documents, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    groups = _odd(max(shuffle_parts(spark), plan_bytes(docs) // GROUP_TEXT))
+    groups = _odd(min(max(shuffle_parts(spark), plan_bytes(docs) // GROUP_TEXT), 1 << 30))
     tag = F.shiftleft(F.pmod(F.xxhash64("text"), F.lit(1 << TAG_BITS)), PLACE_BITS)
     # rows without a doc_id are spread by their texts
     docs = docs.withColumns({"tag": tag, "g": F.pmod(F.coalesce("doc_id", F.xxhash64("text")), F.lit(groups)).cast("int")})
