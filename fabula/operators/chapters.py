@@ -1,8 +1,8 @@
-"""Chapters of plain text: heading rows start groups, which windows number."""
+"""Chapters of plain text: slices of a book's paragraphs between its headings."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from fabula.functions import text as T
 from fabula.operators.segment import plain_paragraphs
@@ -26,22 +26,23 @@ def split_chapters(df: DataFrame, key: str = "doc_id", paras: str = "paragraphs"
     A heading opens a chapter and is no paragraph of it; chapters without
     paragraphs are dropped, but a book without any keeps one, of its last
     heading.  A first paragraph of chapter 0 that equals the book's title is
-    dropped.  The windows hold one book each.
+    dropped.  A book's chapters are slices of its own array, so nothing is shuffled.
     """
-    rows = df.select(key, F.col(title).alias("__book"), F.posexplode(paras).alias("__i", "__p"))
-    norm = T.heading_normalize("__p")
-    ordered = Window.partitionBy(key).orderBy("__i").rowsBetween(Window.unboundedPreceding, 0)
-    marked = rows.withColumn("__h", F.when(T.is_heading(norm), norm))
-    placed = marked.withColumn("__g", F.count("__h").over(ordered)).withColumn("__title", F.coalesce(F.last("__h", ignorenulls=True).over(ordered), "__book"))
-    groups = placed.groupBy(key, "__g").agg(
-        F.first("__title").alias("title"), F.first("__book").alias("__book"),
-        F.transform(F.array_sort(F.collect_list(F.when(F.col("__h").isNull(), F.struct("__i", "__p")))), lambda x: x["__p"]).alias("paragraphs"),
-    )
-    full = F.size("paragraphs") > 0
-    any_full = F.max(full).over(Window.partitionBy(key))
-    last = F.col("__g") == F.max("__g").over(Window.partitionBy(key))
-    kept = groups.withColumn("__keep", full | (~any_full & last)).where("__keep")
-    numbered = kept.withColumn("chapter_idx", F.row_number().over(Window.partitionBy(key).orderBy("__g")) - 1)
-    repeats = (F.col("chapter_idx") == 0) & (T.heading_normalize(F.try_element_at("paragraphs", F.lit(1))) == T.heading_normalize("__book"))
-    trimmed = F.when(repeats, F.slice("paragraphs", F.lit(2), F.size("paragraphs"))).otherwise(F.col("paragraphs"))
-    return numbered.select(key, "chapter_idx", "title", trimmed.alias("paragraphs"))
+    n = F.size(paras)
+
+    def cut(norms: Column) -> Column:
+        heads = F.filter(F.sequence(F.lit(1), n), lambda i: T.is_heading(F.get(norms, i - 1)))
+
+        def chapter(at: Column, k: Column, ends: Column) -> Column:
+            size = F.coalesce(F.get(ends, k + 1), n + 1) - at - 1
+            return F.struct(F.when(at == 0, F.col(title)).otherwise(F.get(norms, at - 1)).alias("title"), F.slice(paras, at + 1, size).alias("paragraphs"))
+
+        return T.let(F.concat(F.array(F.lit(0)), heads), lambda ends: F.transform(ends, lambda at, k: chapter(at, k, ends)))
+
+    whole = T.let(F.transform(paras, T.heading_normalize), cut)
+    kept = T.let(whole, lambda cs: T.let(F.filter(cs, lambda c: F.size(c["paragraphs"]) > 0), lambda full: F.when(F.size(full) > 0, full).otherwise(F.slice(cs, -1, 1))))
+    rows = df.where(n > 0).select(key, F.col(title).alias("__book"), F.posexplode(kept).alias("chapter_idx", "c"))
+    own = F.col("c.paragraphs")
+    repeats = (F.col("chapter_idx") == 0) & (T.heading_normalize(F.try_element_at(own, F.lit(1))) == T.heading_normalize("__book"))
+    trimmed = F.when(repeats, F.slice(own, F.lit(2), F.size(own))).otherwise(own)
+    return rows.select(key, "chapter_idx", "c.title", trimmed.alias("paragraphs"))

@@ -63,6 +63,25 @@ def author_chunk(t: Column, profiles: dict = PROFILES) -> Column:
     return T.let(T.compact(t), lambda c: T.let(T.capitalize(c), lambda d: T.let(T.terminal(d), lambda said: _chunk(F.lit("author"), said, profiles))))
 
 
+def neighbours(items: Column, same, merged) -> Column:
+    """Runs of entries, in which ``same`` holds of each entry and the one before, as ``merged`` makes of the run's array.
+
+    The starts of the runs come first and then a slice for each, so the work is
+    linear in the entries.
+    """
+    def cut(xs: Column) -> Column:
+        at = F.sequence(F.lit(0), F.size(xs) - 1)
+        starts = F.filter(at, lambda i: (i == 0) | ~same(F.get(xs, i - 1), F.get(xs, i)))
+        ends = lambda s: F.transform(s, lambda lo, k: F.slice(xs, lo + 1, F.coalesce(F.get(s, k + 1), F.size(xs)) - lo))
+        return F.when(F.size(xs) > 0, F.transform(T.let(starts, ends), merged)).otherwise(F.array())
+
+    return T.let(items, cut)
+
+
+def _texts(run: Column, gap: str) -> Column:
+    return F.array_join(F.transform(run, lambda x: x["text"]), gap)
+
+
 def speech_kinds(t: Column) -> Column:
     """The utterances of a run of speech: array of (kind, text), neighbours of one kind but questions merged."""
 
@@ -70,14 +89,8 @@ def speech_kinds(t: Column) -> Column:
         both = lambda said: F.struct(T.kind(said).alias("kind"), T.mark_question(said).alias("text"))
         return T.let(T.capitalize(s), lambda d: T.let(T.terminal(d), both))
 
-    def step(done: Column, x: Column) -> Column:
-        last = F.try_element_at(done, F.lit(-1))
-        same = F.coalesce((last["kind"] == x["kind"]) & (x["kind"] != "question"), F.lit(False))
-        merged = F.struct(x["kind"].alias("kind"), F.concat(last["text"], F.lit(" "), x["text"]).alias("text"))
-        return F.when(same, F.array_append(F.slice(done, F.lit(1), F.size(done) - 1), merged)).otherwise(F.array_append(done, x))
-
-    none = F.array().cast("array<struct<kind:string,text:string>>")
-    return T.let(T.compact(t), lambda c: F.aggregate(F.transform(sentences(T.terminal(c)), classified), none, step))
+    parts = F.transform(sentences(T.terminal(T.compact(t))), classified)
+    return neighbours(parts, lambda a, b: (a["kind"] == b["kind"]) & (b["kind"] != "question"), lambda run: F.struct(F.get(run, F.lit(0))["kind"].alias("kind"), _texts(run, " ").alias("text")))
 
 
 def speech_chunks(t: Column, profiles: dict = PROFILES) -> Column:
@@ -90,13 +103,7 @@ def runs(paragraph: Column) -> Column:
     parts = F.filter(F.transform(F.split(body, rf"{T.WS}+-{T.WS}+"), T.strip), lambda p: p != "")
     marked = F.transform(parts, lambda p: F.struct(is_remark(p).alias("remark"), p.alias("text")))
 
-    def step(done: Column, x: Column) -> Column:
-        last = F.try_element_at(done, F.lit(-1))
-        grows = F.coalesce(~last["remark"] & ~x["remark"], F.lit(False))
-        longer = F.struct(F.lit(False).alias("remark"), F.concat(last["text"], F.lit(" - "), x["text"]).alias("text"))
-        return F.when(grows, F.array_append(F.slice(done, F.lit(1), F.size(done) - 1), longer)).otherwise(F.array_append(done, x))
-
-    return F.aggregate(marked, F.array().cast("array<struct<remark:boolean,text:string>>"), step)
+    return neighbours(marked, lambda a, b: ~a["remark"] & ~b["remark"], lambda run: F.struct(F.get(run, F.lit(0))["remark"].alias("remark"), _texts(run, " - ").alias("text")))
 
 
 def paragraph_chunks(paragraph: Column, profiles: dict = PROFILES) -> Column:

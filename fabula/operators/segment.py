@@ -69,33 +69,42 @@ def _closed(state: Column) -> Column:
     return F.when(state["open"] == "", state["done"]).otherwise(F.array_append(state["done"], state["open"]))
 
 
-def slices(word: Column, most: int) -> Column:
-    """A word in pieces of ``most`` characters."""
-    last = F.greatest(F.ceil(F.length(word) / most).cast("int") - 1, F.lit(0))
-    return F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(word, i * most + 1, F.lit(most)))
+def _word_pieces(most: int, gap: str) -> str:
+    """Alternatives that match, from left to right, the chunks of words that one of the characters ``gap`` parts.
 
+    The rest of a cut word, then as many whole words as fit (over blanks, but over
+    no other gap), then as much of a longer word as fits.
+    """
+    word = f"[^{gap}]"
+    over = "".join(c for c in gap if c != " ")
+    within = f"[^{over}]" if over else "(?s:.)"
+    whole = rf"{word}(?:{within}{{0,{most - 2}}}{word})?" if most > 1 else word
+    return rf"(?<={word}){word}{{1,{most}}}|{whole}(?=[{gap}]|\z)|{word}{{{most}}}"
 
-def pack_words(t: Column, most: int) -> Column:
-    """Words packed up to ``most`` characters; longer words are cut, and their pieces stay alone."""
 
-    def step(s: Column, w: Column) -> Column:
-        longer = F.length(w) > most
-        full = F.when(longer, F.concat(_closed(s), slices(w, most))).otherwise(_closed(s))
-        return F.when(F.length(_joined(s, w)) <= most, _state(s["done"], _joined(s, w))).otherwise(_state(full, F.when(longer, "").otherwise(w)))
+def pack_words(t: Column, most: int) -> Column:
+    """Words packed up to ``most`` characters; longer words are cut, and their pieces stay alone.
 
-    return _fold(F.filter(F.split(t, rf"{WS}+"), lambda w: w != ""), step)
+    One pass of a regular expression: greedy matching takes what greedy packing does.
+    """
+    if most <= 0:
+        raise ValueError("most must be positive")
+    return F.regexp_extract_all(compact(t), F.lit(_word_pieces(most, " ")), 0)
 
 
 def pack_sentences(t: Column, most: int) -> Column:
-    """A text in pieces of up to ``most`` characters at sentence ends, at words where a sentence is longer."""
-
-    def step(s: Column, x: Column) -> Column:
-        longer = F.length(x) > most
-        full = F.when(longer, F.concat(_closed(s), pack_words(x, most))).otherwise(_closed(s))
-        return F.when(longer, _state(full, F.lit(""))).when(F.length(_joined(s, x)) <= most, _state(s["done"], _joined(s, x))).otherwise(_state(full, x))
+    """A text in pieces of up to ``most`` characters at sentence ends, at words where a sentence is longer.
 
+    Sentence ends become line breaks, which a compact text has none of; whole
+    sentences that fit are taken first, else the words of one sentence.
+    """
+    if most <= 0:
+        raise ValueError("most must be positive")
     t = compact(t)
-    return F.when(F.length(t) <= most, F.array(t)).otherwise(_fold(sentences(t), step))
+    marked = F.regexp_replace(t, "(?<=[.!?…]) ", "\n")
+    whole = rf"(?:\A|(?<=\n))(?s:.{{1,{most}}})(?=\n|\z)"
+    pieces = F.regexp_extract_all(marked, F.lit(rf"{whole}|{_word_pieces(most, ' ' + chr(92) + 'n')}"), 0)
+    return F.when(F.length(t) <= most, F.array(t)).otherwise(F.transform(pieces, lambda p: F.translate(p, "\n", " ")))
 
 
 def pack_neighbors(chunks: Column, most: int) -> Column:

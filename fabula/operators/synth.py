@@ -11,12 +11,14 @@ from __future__ import annotations
 import io
 import math
 import struct
+import time
+import uuid
 import wave
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from fabula.functions import text as T
 
@@ -80,7 +82,8 @@ def plan(chunks: DataFrame, symbols: str, ladder: str = "markup") -> DataFrame:
     markup: clean the text; empty is skipped; markup only if cleaning changed
     nothing; then the text; then its allowed characters, if they differ and
     aren't empty.  plain: normalise for the second engine, then the text and its
-    allowed characters.  none: the markup or else the text, once.
+    allowed characters.  again: like plain, but the allowed characters are tried
+    also where they are the text itself.  none: the markup or else the text, once.
     """
     if ladder == "none":
         return chunks.withColumn("try_markup", F.col("ssml")).withColumn("try_text", F.when(F.col("ssml").isNull(), T.strip("text"))).withColumn("try_allowed", F.lit(None).cast("string"))
@@ -88,29 +91,31 @@ def plan(chunks: DataFrame, symbols: str, ladder: str = "markup") -> DataFrame:
     allowed = T.allowed_only(F.col("try_text"), symbols, keep_space=ladder != "markup")
     rows = chunks.withColumn("try_text", F.nullif(clean, F.lit("")))
     rows = rows.withColumn("try_markup", F.when((F.col("try_text") == T.strip("text")) & F.lit(ladder == "markup"), F.nullif("ssml", F.lit(""))))
-    return rows.withColumn("try_allowed", F.when((allowed != "") & (allowed != F.col("try_text")), allowed))
+    return rows.withColumn("try_allowed", F.when((allowed != "") & ((allowed != F.col("try_text")) | F.lit(ladder == "again")), allowed))
 
 
 def synthesize(planned: DataFrame, engine: Callable[[], Engine], on_error: str = "reject", tone: Callable[[bytes, str], bytes] | None = None) -> DataFrame:
-    """planned with wav, attempt (the rung that worked) and error.
+    """planned with wav, attempt (the rung that worked), error, and seconds that it took.
 
     ``engine`` is called once in each Python worker.  Failed chunks have a null
     wav and the last error, or end the job with on_error "raise".  A tone
     function changes the audio of chunks that have a post_tone.
     """
+    name = uuid.uuid4().hex
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        voice = engine()
+        voice = _worker_held(name, engine)
         for batch in batches:
-            wavs, rungs, errors = [], [], []
+            wavs, rungs, errors, seconds = [], [], [], []
             for row in batch.itertuples(index=False):
                 wav = rung = error = None
-                for name in ("markup", "text", "allowed"):
-                    said = getattr(row, f"try_{name}")
+                began = time.perf_counter()
+                for rung_ in ("markup", "text", "allowed"):
+                    said = getattr(row, f"try_{rung_}")
                     if wav is not None or not isinstance(said, str):
                         continue
                     try:
-                        wav, rung, error = voice.speak(None if name == "markup" else said, said if name == "markup" else None), name, None
+                        wav, rung, error = voice.speak(None if rung_ == "markup" else said, said if rung_ == "markup" else None), rung_, None
                     except Exception as e:  # an engine may fail in any way; the row says how
                         error = f"{type(e).__name__}: {e}"
                 if wav is None and error is not None and on_error == "raise":
@@ -121,10 +126,43 @@ def synthesize(planned: DataFrame, engine: Callable[[], Engine], on_error: str =
                 wavs.append(wav)
                 rungs.append(rung)
                 errors.append(error)
-            yield batch.assign(wav=wavs, attempt=rungs, error=errors)
+                seconds.append(time.perf_counter() - began)
+            yield batch.assign(wav=wavs, attempt=rungs, error=errors, seconds=seconds)
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in planned.schema.fields)
-    return planned.mapInPandas(run, f"{fields}, wav binary, attempt string, error string")
+    return planned.mapInPandas(run, f"{fields}, wav binary, attempt string, error string, seconds double")
+
+
+_HELD: dict[str, object] = {}
+
+
+def _worker_held(name: str, make: Callable[[], object]):
+    """What ``make`` makes, kept by the Python worker for the tasks that follow."""
+    if name not in _HELD:
+        _HELD.clear()
+        _HELD[name] = make()
+    return _HELD[name]
+
+
+def elapsed(synthesized: DataFrame, by: list[str]) -> DataFrame:
+    """by, n_chunks, seconds: the time that the chunks of each group took."""
+    return synthesized.groupBy(*by).agg(F.count("*").alias("n_chunks"), F.sum("seconds").alias("seconds"))
+
+
+def sample_rates(content: Column) -> Column:
+    """The sample rate of WAV files; null where the content is none."""
+
+    def rate(raw: bytes | None) -> int | None:
+        try:
+            return None if raw is None else sample_rate(raw)
+        except (wave.Error, EOFError):
+            return None
+
+    @F.pandas_udf("long")
+    def rates(rows: pd.Series) -> pd.Series:
+        return rows.map(rate).astype("Int64")
+
+    return rates(content)
 
 
 def rejected(synthesized: DataFrame) -> DataFrame:
@@ -145,10 +183,11 @@ def join_chapters(synthesized: DataFrame, by: list[str], order: str, pause_sec:
 
 def accented(df: DataFrame, engine: Callable[[], Callable[[str], str]], column: str = "paragraph") -> DataFrame:
     """df with ``accented``: the normalised paragraph through a stress marker, null where it is empty."""
+    name = uuid.uuid4().hex
 
     @F.pandas_udf("string")
     def mark(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        process = engine()
+        process = _worker_held(name, engine)
         for batch in batches:
             yield batch.map(lambda t: process(t) if isinstance(t, str) and t else None)
 

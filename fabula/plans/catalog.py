@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from fabula.functions import audio, keys, text as T
 from fabula.functions.numbers import HUNDREDS, MINUS, SCALES, TEENS, TENS, UNITS, UNITS_FEMININE, ZERO, integer_to_words, numbers_to_words
 from fabula.operators import chapters, dialogue, segment, state, synth
+from fabula.plans import book_sql as B
 from fabula.sources import readers, writers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -83,13 +84,15 @@ _KIND = "CASE right($T, 1) WHEN '?' THEN 'question' WHEN '!' THEN 'exclamation'
 _MARKED = rf"regexp_replace($T, '([A-Za-zА-Яа-яЁё0-9-]+){WS}*\?$', '*\1*?')"
 _ESCAPE = "replace(replace(replace($T, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
 
+_STARLESS = rf"regexp_replace({COMPACT}, '^\*+(?:{WS}+\*+)*[.!?…]*$', '')"
+
 # ---------------------------------------------------------------- text functions
 scalar("ws_compact", T.compact, COMPACT)
 scalar("ws_compact_wide", T.compact_wide, _of(COMPACT, "replace(replace(replace($T, chr(160), ' '), '\u200b', ''), '\u2060', '')"), "replace(replace(text, ' the ', chr(160) || 'the' || '\u200b'), chr(10), '\u2060' || chr(10))")
 scalar("dash_fold", T.fold_dashes, "replace(replace($T, '—', '-'), '–', '-')", DASHES)
 scalar("mark_fold", T.fold_marks, r"regexp_replace($T, '\?!|!\?', '?', 'g')", QUESTIONS)
 scalar("yo_fold", T.fold_yo, "replace(replace($T, 'Ё', 'Е'), 'ё', 'е')", "replace(replace(text, 'the', 'ёлка'), 'T', 'Ё')")
-scalar("decorative_filter", T.tts_clean, rf"replace({_of(STRIP, f'regexp_replace({COMPACT}, ' + chr(39) + rf'^\*+(?:{WS}+\*+)*[.!?…]*$' + chr(39) + ', ' + chr(39) * 2 + ')')}, chr(34), '')", "CASE WHEN length(text) < 300 THEN ' *** **.' ELSE replace(text, ' the ', ' \"the\" ') END")
+scalar("decorative_filter", T.tts_clean, f"replace({_of(STRIP, _STARLESS)}, chr(34), '')", "CASE WHEN length(text) < 300 THEN ' *** **.' ELSE replace(text, ' the ', ' \"the\" ') END")
 scalar("vosk_normalize", T.speaker_normalize, _of(COMPACT, r"regexp_replace(replace(replace(replace(replace(replace(regexp_replace($T, '[*«»\"„“”‘’]', '', 'g'), '—', '-'), '–', '-'), '…', '.'), '...', '.'), '. . .', '.'), '\.{3,}', '.', 'g')".replace("$T", STRIP)), QUOTES)
 scalar("accent_normalize", T.stress_normalize, _of(COMPACT, "regexp_replace(regexp_replace($T, '[„“”«»]', '\"', 'g'), '[‘’]', chr(39), 'g')"), QUOTES)
 scalar("safe_name", T.safe_name, rf"rtrim(left(CASE WHEN trim(regexp_replace({COMPACT}, '[\\/:*?\"<>|]', '_', 'g'), '. ') = '' THEN 'chapter' ELSE trim(regexp_replace({COMPACT}, '[\\/:*?\"<>|]', '_', 'g'), '. ') END, 120), '. ')", "CASE WHEN length(text) < 60 THEN ' . ' ELSE replace(replace(text, ', ', ': '), ' the ', '/the?') END")
@@ -153,41 +156,26 @@ listed("paragraphs", segment.paragraphs, _sql_filled(_sql_split(rf"\n{WS}*\n")),
 listed("plain_paragraphs", segment.plain_paragraphs, _sql_filled(r"string_split(regexp_replace($T, '\n{3,}', chr(10) || chr(10), 'g'), chr(10) || chr(10))"), "replace(text, chr(10), chr(10) || chr(10) || chr(10))")
 listed("lines", segment.lines, _sql_filled("string_split($T, chr(10))"))
 listed("sentences_a", segment.sentences, _sql_filled(_SENTENCES))
-listed("sentences_b", lambda t: segment.sentences_tight(T.compact_wide(t)), None)
+listed("sentences_b", lambda t: segment.sentences_tight(T.compact_wide(t)), B.let(B.compact_wide("$T"), "c", B.sentences_tight("c")))
 listed("terminal_punct", lambda t: F.transform(segment.lines(t), T.terminal), f"list_transform({_sql_filled('string_split($T, chr(10))')}, lambda x: {_of(_TERMINAL, 'x')})")
 listed("capitalize_first", lambda t: F.transform(segment.lines(F.lower(t)), T.capitalize), f"list_transform({_sql_filled('string_split(lower($T), chr(10))')}, lambda x: {_of(_CAPITAL, 'x')})")
 listed("question_mark_word", lambda t: F.transform(segment.lines(t), T.mark_question), f"list_transform({_sql_filled('string_split($T, chr(10))')}, lambda x: {_of(_MARKED, 'x')})", QUESTIONS)
 
-_JOIN = "CASE WHEN s.o = '' THEN x.o ELSE s.o || ' ' || x.o END"
-_CLOSE = "CASE WHEN s.o = '' THEN s.d ELSE list_append(s.d, s.o) END"
-
-
-def _sql_pack(units: str, most: int) -> str:
-    """Greedy packing by a fold; units longer than the limit are cut, and their pieces stay alone."""
-    cut = f"list_transform(range(CAST(ceil(length(x.o) / {most}.0) AS BIGINT)), lambda k: substring(x.o, k * {most} + 1, {most}))"
-    step = (
-        f"CASE WHEN length({_JOIN}) <= {most} THEN {{'d': s.d, 'o': {_JOIN}}} "
-        f"WHEN length(x.o) > {most} THEN {{'d': list_concat({_CLOSE}, {cut}), 'o': ''}} ELSE {{'d': {_CLOSE}, 'o': x.o}} END"
-    )
-    folded = f"list_reduce(list_transform({units}, lambda w: {{'d': CAST([] AS VARCHAR[]), 'o': w}}), lambda s, x: {step}, {{'d': CAST([] AS VARCHAR[]), 'o': ''}})"
-    return f"list_transform([{folded}], lambda s: {_CLOSE})[1]"
-
+_SPOKEN = _sql_words("z")
 
-listed("pack_words", lambda t: segment.pack_words(t, 12), _sql_pack(f"list_filter(string_split({COMPACT}, ' '), lambda w: w <> '')", 12))
-listed("pack_neighbors", lambda t: segment.pack_neighbors(segment.lines(t), 400), None)
-listed("pack_sentences", lambda t: segment.pack_sentences(t, 200), None)
-listed("balanced_chunks", lambda t: segment.balanced(segment.sentences(t), 250), None)
-listed("chunk_text", lambda t: segment.chunk_text(t, 250), None, BLANK_LINES)
-listed("chunk_paragraphs", lambda t: segment.chunk_paragraphs(segment.lines(t), 250), None)
+listed("pack_words", lambda t: segment.pack_words(t, 12), B.pack_words("$T", 12))
+listed("pack_neighbors", lambda t: segment.pack_neighbors(segment.lines(t), 400), B.pack_neighbors(B.filled("string_split($T, chr(10))"), 400))
+listed("pack_sentences", lambda t: segment.pack_sentences(t, 200), B.let(B.compact("$T"), "c", B.pack_sentences("c", 200)))
+listed("balanced_chunks", lambda t: segment.balanced(segment.sentences(t), 250), B.balance(B.sentences("$T"), 250))
+listed("chunk_text", lambda t: segment.chunk_text(t, 250), B.chunked("$T", 250), BLANK_LINES)
+listed("chunk_paragraphs", lambda t: segment.chunk_paragraphs(segment.lines(t), 250), B.chunk_paragraphs(B.filled("string_split($T, chr(10))"), _SPOKEN, 250), NUMBERS)
+listed("line_mode_chunks", lambda t: segment.chunk_lines(t, 120), B.chunk_lines("$T", _SPOKEN, 120), NUMBERS)
 listed("escaped_paragraphs", chapters.book_paragraphs, None, ESCAPED)
 
 
-listed("line_mode_chunks", lambda t: segment.chunk_lines(t, 120), None)
-
-
 def kind_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("lang", T.compact("text").alias("t"))
-    return docs.select("lang", F.explode(segment.sentences(numbers_to_words("t"))).alias("s")).groupBy("lang", T.kind("s").alias("kind")).agg(F.count("*").alias("n"))
+    return docs.select("lang", F.explode(segment.sentences(F.col("t"))).alias("s")).groupBy("lang", T.kind("s").alias("kind")).agg(F.count("*").alias("n"))
 
 
 _QUERIES["kind_counts"] = kind_counts
@@ -205,9 +193,12 @@ def author_remark(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _QUERIES["author_remark"] = author_remark
+_REMARK = (
+    f"CASE WHEN regexp_matches(p, '[?!]') THEN regexp_matches(p, '^(?:(?:{_ADVERBS}) )?(?:{_VERBS}){_END}') "
+    f"ELSE regexp_matches(p, '^(?:(?:я|[а-яёa-z][а-яёa-z-]+) )?(?:(?:{_ADVERBS}) )?(?:{_VERBS}){_END}') END"
+)
 _SQL["author_remark"] = (
-    f"SELECT doc_id, CAST(i - 1 AS INTEGER) AS idx, CASE WHEN regexp_matches(p, '[?!]') THEN regexp_matches(p, '^(?:(?:{_ADVERBS}) )?(?:{_VERBS}){_END}') "
-    f"ELSE regexp_matches(p, '^(?:(?:я|[а-яёa-z][а-яёa-z-]+) )?(?:(?:{_ADVERBS}) )?(?:{_VERBS}){_END}') END AS is_remark "
+    f"SELECT doc_id, CAST(i - 1 AS INTEGER) AS idx, {_REMARK} AS is_remark "
     f"FROM (SELECT doc_id, i, lower({_of(COMPACT, 'parts[i]')}) AS p FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT doc_id, string_split({_of(COMPACT, 't')}, ' - ') AS parts FROM {_from(SPEECH)})))"
 )
 
@@ -237,6 +228,10 @@ def parse_book(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _QUERIES |= {"dialogue_chunks": dialogue_chunks, "parse_book": parse_book}
+_COMMALESS = _sql_commas("replace(replace(t, '—', '-'), '–', '-')", T.COMMA_WORDS)
+_NORMAL = f"SELECT doc_id, {B.spelled('t', _SPOKEN)} AS t FROM (SELECT doc_id, regexp_replace({_COMMALESS}, '\\?!|!\\?', '?', 'g') AS t FROM {_from(SPEECH)})"
+_SQL["dialogue_chunks"] = B.parse_book(_NORMAL, _REMARK, dialogue.PROFILES, 0)
+_SQL["parse_book"] = B.parse_book(_NORMAL, _REMARK, dialogue.PROFILES, 200)
 
 
 def chapter_split(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -251,17 +246,19 @@ def title_guess(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _QUERIES |= {"chapter_split": chapter_split, "title_guess": title_guess}
 _SQL["title_guess"] = f"SELECT doc_id, CASE WHEN length(f) BETWEEN 2 AND 120 THEN f ELSE 'book' END AS title FROM (SELECT doc_id, {_of(STRIP, 'string_split(p, chr(10))[1]')} AS f FROM (SELECT doc_id, {_of(_sql_filled('string_split($T, chr(10) || chr(10))'), 'text')}[1] AS p FROM documents))"
+_HEADING_OF_X, _HEADING_OF_BOOK = (_of(STRIP, f"regexp_replace({_of(COMPACT, c)}, ' *- *', ' - ', 'g')") for c in ("x", "book"))
+_PLAIN_PARAGRAPHS = _of(_sql_filled(r"string_split(regexp_replace($T, '\n{3,}', chr(10) || chr(10), 'g'), chr(10) || chr(10))"), "t")
 _SQL["chapter_split"] = (
-    f"WITH p AS (SELECT doc_id, {_of(_sql_filled(rf'string_split(regexp_replace($T, {chr(39)}\n{{3,}}{chr(39)}, chr(10) || chr(10), {chr(39)}g{chr(39)}), chr(10) || chr(10))'), 't')} AS parts FROM {_from(CHAPTERS)}), "
+    f"WITH p AS (SELECT doc_id, {_PLAIN_PARAGRAPHS} AS parts FROM {_from(CHAPTERS)}), "
     f"b AS (SELECT doc_id, parts, CASE WHEN length(f) BETWEEN 2 AND 120 THEN f ELSE 'book' END AS book FROM (SELECT doc_id, parts, {_of(STRIP, 'string_split(parts[1], chr(10))[1]')} AS f FROM p)), "
     "r AS (SELECT doc_id, book, i, parts[i] AS x FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS i FROM b)), "
-    f"n AS (SELECT *, {_of(STRIP, rf'regexp_replace({_of(COMPACT, chr(120))}, {chr(39)} *- *{chr(39)}, {chr(39)} - {chr(39)}, {chr(39)}g{chr(39)})')} AS norm FROM r), "
+    f"n AS (SELECT *, {_HEADING_OF_X} AS norm FROM r), "
     r"h AS (SELECT *, CASE WHEN regexp_matches(norm, '^(Том \p{Nd}+ )?Глава \p{Nd}+( *[-:] .+)?$') THEN norm END AS head FROM n), "
     "g AS (SELECT *, count(head) OVER w AS grp, coalesce(last_value(head IGNORE NULLS) OVER w, book) AS title FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING)), "
     "c AS (SELECT doc_id, grp, any_value(title) AS title, any_value(book) AS book, count(*) FILTER (WHERE head IS NULL) AS n, list(x ORDER BY i) FILTER (WHERE head IS NULL) AS xs, list(norm ORDER BY i) FILTER (WHERE head IS NULL) AS ns FROM g GROUP BY doc_id, grp), "
     "k AS (SELECT *, max(n) OVER (PARTITION BY doc_id) AS mx, max(grp) OVER (PARTITION BY doc_id) AS last FROM c), "
     "m AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY grp) - 1 AS chapter_idx FROM k WHERE n > 0 OR (mx = 0 AND grp = last)) "
-    f"SELECT doc_id, CAST(chapter_idx AS INTEGER) AS chapter_idx, title, coalesce(array_to_string(CASE WHEN chapter_idx = 0 AND ns[1] = {_of(STRIP, rf'regexp_replace({_of(COMPACT, chr(98) + chr(111) * 2 + chr(107))}, {chr(39)} *- *{chr(39)}, {chr(39)} - {chr(39)}, {chr(39)}g{chr(39)})')} THEN xs[2:] ELSE xs END, chr(10) || chr(10)), '') AS text FROM m"
+    f"SELECT doc_id, CAST(chapter_idx AS INTEGER) AS chapter_idx, title, coalesce(array_to_string(CASE WHEN chapter_idx = 0 AND ns[1] = {_HEADING_OF_BOOK} THEN xs[2:] ELSE xs END, chr(10) || chr(10)), '') AS text FROM m"
 )
 
 # ---------------------------------------------------------------- books, audio, state
@@ -285,6 +282,67 @@ def fb2_written(spark: SparkSession, sf_dir: str) -> DataFrame:
     return writers.fb2_files(rows, "doc_id", "2024-01-01")
 
 
+def _files(spark: SparkSession, sf_dir: str, content: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").cast("string").alias("path"), F.expr(content).alias("content"))
+
+
+def texts_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files with the line breaks of another system."""
+    files = _files(spark, sf_dir, "encode(replace(text, chr(10), '\\r\\n') || '\\rend', 'UTF-8')")
+    return readers.texts_of(files)
+
+
+def texts_lenient(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files with a byte that is no UTF-8."""
+    return readers.texts_of(_files(spark, sf_dir, "concat(encode(text, 'UTF-8'), unhex('FF'), encode('x', 'UTF-8'))"), strict=False)
+
+
+def texts_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return readers.filled(readers.texts_of(_files(spark, sf_dir, "encode(' ' || chr(10) || text || chr(9), 'UTF-8')")))
+
+
+def chunk_files_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunk files, some of whose chunks lack what they need; valid and rejected ones."""
+    turns = _table(spark, sf_dir, "conversations").withColumn("c", F.expr("named_struct('type', CASE WHEN turn % 5 = 3 THEN ' ' ELSE role END, 'text', CASE WHEN turn % 5 = 4 THEN '' ELSE text END, 'ssml', CASE WHEN turn = 1 THEN '<p/>' ELSE ' ' END, 'pitch_shift', CASE WHEN turn = 2 THEN '-5%' ELSE ' ' END)"))
+    files = turns.groupBy(F.col("conv_id").cast("string").alias("path")).agg(F.array_sort(F.collect_list(F.struct("turn", "c"))).alias("cs")).select("path", F.to_json(F.transform("cs", lambda x: x["c"])).alias("text"))
+    valid, rejected = readers.chunks_of(files)
+    return valid.withColumn("reason", F.lit(None).cast("string")).unionByName(rejected).select("path", "chunk_idx", "type", "text", "ssml", "post_tone", "reason")
+
+
+def json_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Objects, lists and broken texts."""
+    rows = _table(spark, sf_dir, "nation").select("n_nationkey", F.expr("CASE n_nationkey % 3 WHEN 0 THEN to_json(named_struct('name', n_name, 'key', n_nationkey)) WHEN 1 THEN '[1, 2]' ELSE '{broken' END").alias("t"))
+    return rows.select("n_nationkey", F.try_element_at(readers.json_object(F.col("t")), F.lit("name")).alias("name"))
+
+
+def _spoken(spark: SparkSession, sf_dir: str, ladder: str) -> DataFrame:
+    """The ladder with a double that makes 48 samples for each character, and refuses markup and texts with a full stop."""
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", F.expr("CASE turn % 4 WHEN 0 THEN text WHEN 1 THEN replace(text, '.', '') WHEN 2 THEN '***' ELSE text || '…' END").alias("text"))
+    chunks = turns.withColumns({"ssml": T.plain_markup("text"), "post_tone": F.expr("CASE WHEN turn % 2 = 0 THEN '-5%' END")})
+    planned = synth.plan(chunks, " abcdefghijklmnopqrstuvwxyz", ladder)
+    refuses = lambda said: "<" in said or "." in said
+    return synth.synthesize(planned, lambda: synth.ToneDouble(48000, refuses), tone=lambda wav, shift: synth.joined([wav, synth.silence(0.001, 48000)], 0))
+
+
+def _ladder(ladder: str) -> Query:
+    return lambda spark, sf_dir: _spoken(spark, sf_dir, ladder).select("conv_id", "turn", "attempt", F.length("wav").alias("bytes"), "error")
+
+
+def chapter_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts of each conversation with pauses, and the sample rate of what results."""
+    audio_rows = synth.join_chapters(_spoken(spark, sf_dir, "plain"), ["conv_id"], "turn", 0.022)
+    return audio_rows.select("conv_id", F.length("wav").alias("bytes"), "n_parts", synth.sample_rates(F.col("wav")).alias("rate"))
+
+
+def skip_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return synth.rejected(_spoken(spark, sf_dir, "plain")).select("conv_id", "turn", "reason")
+
+
+def chapter_whole_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("chapter_idx"), F.expr("chr(10) || text || ' '").alias("text"))
+    return writers.whole_text(rows, "conv_id")
+
+
 def pitch_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = _table(spark, sf_dir, "part").select("p_partkey", F.expr("CASE p_partkey % 4 WHEN 0 THEN CAST(p_size AS STRING) || '%' WHEN 1 THEN ' -' || CAST(p_size * 8 AS STRING) || ' hz' WHEN 2 THEN '+' || CAST(p_size AS STRING) || 'HZ' ELSE 'x' END").alias("spec"))
     return parts.select("p_partkey", "spec", F.round(audio.pitch_factor("spec"), 9).alias("factor"))
@@ -359,8 +417,10 @@ _QUERIES |= {
     for f in (
         fb2_chapters, fb2_written, pitch_factor, atempo_chain, tone_filter, playlist_manifest, tone_histogram, chapter_counts, resume_pending,
         parts_to_make, cached_chunks, state_invalidation, profile_lookup, ordered_concat, synth_plan, chunk_files,
+        texts_strict, texts_lenient, texts_filled, chunk_files_read, json_settings, chapter_audio, skip_markers, chapter_whole_text,
     )
 }
+_QUERIES |= {f"synth_{ladder}": _ladder(ladder) for ladder in ("markup", "plain", "again", "none")}
 
 _LINES = _of(_sql_filled("string_split($T, chr(10))"), "text")
 _SQL |= {
@@ -389,17 +449,60 @@ def _sql_listed(parts: str, rewriting: str) -> str:
     return f"SELECT doc_id, CAST(i - 1 AS INTEGER) AS idx, parts[i] AS value FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT doc_id, {parts.replace('$T', 't')} AS parts FROM {_from(rewriting)}))"
 
 
-def _sql_neighbors(units: str, most: int) -> str:
-    step = f"CASE WHEN length({_JOIN}) <= {most} THEN {{'d': s.d, 'o': {_JOIN}}} ELSE {{'d': {_CLOSE}, 'o': x.o}} END"
-    folded = f"list_reduce(list_transform({units}, lambda w: {{'d': CAST([] AS VARCHAR[]), 'o': w}}), lambda s, x: {step}, {{'d': CAST([] AS VARCHAR[]), 'o': ''}})"
-    return f"list_transform([{folded}], lambda s: {_CLOSE})[1]"
+# what the double is asked to say: s the cleaned text, a its allowed characters
+_TURNS = "(SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN text WHEN 1 THEN replace(text, '.', '') WHEN 2 THEN '***' ELSE text || '…' END AS t FROM conversations)"
+_SPEAKER = _of(COMPACT, r"regexp_replace(replace(replace(replace(replace(replace(regexp_replace($T, '[*«»\"„“”‘’]', '', 'g'), '—', '-'), '–', '-'), '…', '.'), '...', '.'), '. . .', '.'), '\.{3,}', '.', 'g')".replace("$T", _of(STRIP, "t")))
+_CLEANED = f"replace({_of(STRIP, _of(_STARLESS, 't'))}, chr(34), '')"
+
+
+def _sql_ladder(ladder: str) -> str:
+    """Refused are markup, and texts with a full stop; a toned part is 48 samples longer."""
+    clean = {"markup": _CLEANED, "plain": _SPEAKER, "again": _SPEAKER}.get(ladder)
+    tone = "CASE WHEN turn % 2 = 0 THEN 96 ELSE 0 END"
+    if clean is None:
+        return "SELECT conv_id, turn, CAST(NULL AS VARCHAR) AS attempt, CAST(NULL AS INTEGER) AS bytes, 'ValueError: refused' AS error FROM conversations"
+    allowed = _of(COMPACT, "regexp_replace(lower(s), '[^ a-z]', '', 'g')")
+    differs = "true" if ladder == "again" else "a <> s"
+    return (
+        f"SELECT conv_id, turn, CASE WHEN s = '' THEN NULL WHEN NOT contains(s, '.') THEN 'text' WHEN a <> '' AND {differs} THEN 'allowed' END AS attempt, "
+        f"CAST(CASE WHEN s = '' THEN NULL WHEN NOT contains(s, '.') THEN 44 + 96 * length(s) + {tone} WHEN a <> '' AND {differs} THEN 44 + 96 * length(a) + {tone} END AS INTEGER) AS bytes, "
+        f"CASE WHEN s <> '' AND contains(s, '.') AND NOT (a <> '' AND {differs}) THEN 'ValueError: refused' END AS error "
+        f"FROM (SELECT *, {allowed} AS a FROM (SELECT conv_id, turn, {clean} AS s FROM {_TURNS}))"
+    )
 
 
+_SQL |= {f"synth_{ladder}": _sql_ladder(ladder) for ladder in ("markup", "plain", "again", "none")}
+_SQL |= {
+    "texts_strict": "SELECT CAST(doc_id AS VARCHAR) AS path, text || chr(10) || 'end' AS text FROM documents",
+    "texts_lenient": "SELECT CAST(doc_id AS VARCHAR) AS path, text || chr(65533) || 'x' AS text FROM documents",
+    "texts_filled": f"SELECT CAST(doc_id AS VARCHAR) AS path, {_of(STRIP, 'text')} AS text FROM documents",
+    "chunk_files_read": (
+        "SELECT CAST(conv_id AS VARCHAR) AS path, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INTEGER) AS chunk_idx, CASE WHEN turn % 5 = 3 THEN ' ' ELSE role END AS type, CASE WHEN turn % 5 = 4 THEN '' ELSE text END AS text, "
+        "CASE WHEN turn = 1 THEN '<p/>' END AS ssml, CASE WHEN turn = 2 THEN '-5%' END AS post_tone, CASE WHEN turn % 5 = 3 THEN 'no type' WHEN turn % 5 = 4 THEN 'no text' END AS reason FROM conversations"
+    ),
+    "json_settings": "SELECT n_nationkey, CASE WHEN n_nationkey % 3 = 0 THEN n_name END AS name FROM nation",
+    "chapter_audio": f"SELECT conv_id, CAST(44 + sum(bytes - 44) + 2 * 1056 * (count(*) - 1) AS INTEGER) AS bytes, count(*) AS n_parts, CAST(48000 AS BIGINT) AS rate FROM ({_sql_ladder('plain')}) WHERE bytes IS NOT NULL GROUP BY conv_id",
+    "skip_markers": f"SELECT conv_id, turn, coalesce(error, 'empty after cleaning') AS reason FROM ({_sql_ladder('plain')}) WHERE bytes IS NULL",
+    "chapter_whole_text": f"SELECT conv_id, string_agg({_of(STRIP, 'text')}, chr(10) || chr(10) ORDER BY turn) || chr(10) AS text FROM conversations GROUP BY conv_id",
+}
+
+_ALLOWED = _of(COMPACT, "regexp_replace(lower(c), '[^ a-z.,]', '', 'g')")
+_CLEAN_LINES = r"string_split(regexp_replace(text, '[\x00-\x08\x0b-\x1f]', '', 'g'), chr(10))"
+_BOOK_HEAD = (
+    f'<?xml version="1.0" encoding="utf-8"?>\n<FictionBook xmlns="{readers.NAMESPACE}">\n  <description>\n    <title-info>\n      '
+    "' || CASE WHEN coalesce(source, '') = '' THEN '<book-title />' ELSE '<book-title>' || " + _of(_ESCAPE, "source") + " || '</book-title>' END || '\n      <lang>ru</lang>\n    </title-info>\n"
+    '    <document-info>\n      <program-used>fabula</program-used>\n      <date value="2024-01-01">2024-01-01</date>\n    </document-info>\n  </description>\n'
+    "  <body>\n    <section>\n      <title>\n        <p>Глава 1</p>\n      </title>\n"
+)
+_LINE_ENDS = f"'{_BOOK_HEAD}' || array_to_string(list_transform(ps, lambda p: '      <p>' || p || '</p>\n'), '') || '    </section>\n  </body>\n</FictionBook>'"
+
 _SQL |= {
     "isolate_headings": f"SELECT doc_id, {_of(_ISOLATED, 't')} AS value FROM {_from(GLUED)}",
     "escaped_paragraphs": _sql_listed(_sql_filled(_of(_PLAIN, _of(_ISOLATED, _of(_UNESCAPED, _UNWRAPPED)))), ESCAPED),
     "normalize_text": rf"SELECT doc_id, regexp_replace({_sql_commas('t', ('the', 'der', 'le'))}, '\?!|!\?', '?', 'g') AS value FROM {_from(COMMAS)}",
-    "pack_neighbors": _sql_listed(_sql_neighbors(_sql_filled("string_split($T, chr(10))"), 400), TEXT),
+    "fb2_written": (
+        f"SELECT doc_id, {_LINE_ENDS} AS fb2 FROM (SELECT doc_id, source, list_transform({B.filled(_CLEAN_LINES)}, lambda p: {_of(_ESCAPE, 'p')}) AS ps FROM documents)"
+    ),
     "chunk_files": (
         "SELECT conv_id, '[' || chr(10) || string_agg('  {\"type\":' || to_json(role) || ',\"text\":' || to_json(text) || CASE WHEN turn = 0 THEN ',\"post_tone\":\"-5%\"' ELSE '' END || '}', ',' || chr(10) ORDER BY turn) || chr(10) || ']' AS json, "
         "string_agg('[' || role || ']: ' || text, chr(10) ORDER BY turn) || chr(10) AS lines FROM conversations GROUP BY conv_id"
@@ -409,7 +512,7 @@ _SQL |= {
     ),
     "synth_plan": (
         f"SELECT doc_id, CASE WHEN c <> '' AND c = s THEN '<speak><p>' || {_of(_ESCAPE, 't')} || '</p></speak>' END AS try_markup, nullif(c, '') AS try_text, CASE WHEN c <> '' AND a <> '' AND a <> c THEN a END AS try_allowed "
-        f"FROM (SELECT *, {_of(COMPACT, chr(114) + 'egexp_replace(lower(c), ' + chr(39) + '[^ a-z.,]' + chr(39) + ', ' + chr(39) * 2 + ', ' + chr(39) + 'g' + chr(39) + ')')} AS a "
+        f"FROM (SELECT *, {_ALLOWED} AS a "
         f"FROM (SELECT doc_id, t, {_of(STRIP, 't')} AS s, replace({_of(COMPACT, 't')}, chr(34), '') AS c FROM {_from(QUOTES)}))"
     ),
 }

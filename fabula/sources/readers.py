@@ -25,7 +25,11 @@ def read_texts(spark: SparkSession, path: str, strict: bool = True) -> DataFrame
     strict: bytes that aren't UTF-8 are an error when the file is read; otherwise
     they are replaced.
     """
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return texts_of(spark.read.format("binaryFile").load(path).select("path", "content"), strict)
+
+
+def texts_of(files: DataFrame, strict: bool = True) -> DataFrame:
+    """``read_texts`` of files that are read: path, content."""
     text = F.col("content").cast("string")
     wrong = F.raise_error(F.concat(F.lit("not UTF-8: "), F.col("path")))
     text = F.when(F.is_valid_utf8(text), text).otherwise(wrong) if strict else F.make_valid_utf8(text)
@@ -34,7 +38,12 @@ def read_texts(spark: SparkSession, path: str, strict: bool = True) -> DataFrame
 
 def read_filled_texts(spark: SparkSession, path: str) -> DataFrame:
     """path, text, stripped; an empty file is an error."""
-    rows = read_texts(spark, path).withColumn("text", strip("text"))
+    return filled(read_texts(spark, path))
+
+
+def filled(texts: DataFrame) -> DataFrame:
+    """path, text, stripped; an empty one is an error."""
+    rows = texts.withColumn("text", strip("text"))
     return rows.withColumn("text", F.when(F.col("text") != "", F.col("text")).otherwise(F.raise_error(F.concat(F.lit("empty: "), F.col("path")))))
 
 
@@ -43,8 +52,12 @@ def read_chunks(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
     A chunk needs a type and a text that aren't blank; a blank markup is null.
     """
-    raw = read_texts(spark, path)
-    items = raw.select("path", F.posexplode_outer(F.from_json("text", f"array<struct<{', '.join(f.replace(' ', ':') for f in CHUNK_SCHEMA.split(', '))}>>")).alias("i", "c"))
+    return chunks_of(read_texts(spark, path))
+
+
+def chunks_of(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``read_chunks`` of texts that are read: path, text."""
+    items = texts.select("path", F.posexplode_outer(F.from_json("text", f"array<struct<{', '.join(f.replace(' ', ':') for f in CHUNK_SCHEMA.split(', '))}>>")).alias("i", "c"))
     blank = lambda c: F.coalesce(strip(c) == "", F.lit(True))
     reason = (
         F.when(F.col("i").isNull(), "not a list of chunks").when(F.col("c").isNull(), "not an object")
@@ -118,6 +131,19 @@ def read_fb2(spark: SparkSession, path: str) -> DataFrame:
     return chapters_of(spark.read.format("binaryFile").load(path).select("path", "content"))
 
 
+def json_object(text: Column) -> Column:
+    """The values of a JSON object as strings; an empty map for anything else."""
+    return F.coalesce(F.from_json(text, "map<string,string>"), F.create_map().cast("map<string,string>"))
+
+
+def model_folder(variable: str, name: str, environ: dict[str, str] | None = None) -> str:
+    """The folder of an engine's models: that of the variable, else ``name`` in the user's cache folder."""
+    environ = dict(os.environ) if environ is None else environ
+    if environ.get(variable):
+        return environ[variable]
+    return os.path.join(environ.get("XDG_CACHE_HOME") or os.path.join(environ.get("HOME", os.path.expanduser("~")), ".cache"), name)
+
+
 def chapter_text(paragraphs: Column) -> Column:
     return F.array_join(paragraphs, "\n\n")
 

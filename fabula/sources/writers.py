@@ -6,7 +6,7 @@ import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from fabula.functions.text import chunk_line, fold_newlines
 from fabula.sources.readers import NAMESPACE
@@ -36,6 +36,35 @@ def write_table(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).parquet(path)
 
 
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the complete versions of a table that is written by key."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(where):
+        return []
+    found = [s.getPath() for s in files.listStatus(where) if s.getPath().getName().startswith("v")]
+    return sorted(int(p.getName()[1:]) for p in found if files.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+
+
+def read_keyed(spark: SparkSession, path: str) -> DataFrame | None:
+    """The last complete version of a table written by ``write_keyed``; None if there is none."""
+    known = _versions(spark, path)
+    return spark.read.parquet(f"{path}/v{known[-1]}") if known else None
+
+
+def write_keyed(df: DataFrame, path: str, keys: list[str]) -> int:
+    """Puts rows in place of those with their keys; the others stay.  Returns the number of the version written.
+
+    Every call writes a version, and readers take the last complete one, so a run
+    that is cut off leaves the table as it was.  Keys of df are unique.
+    """
+    known, old = _versions(df.sparkSession, path), read_keyed(df.sparkSession, path)
+    number = known[-1] + 1 if known else 0
+    whole = df if old is None else old.join(df.select(*keys), keys, "left_anti").unionByName(df, allowMissingColumns=True)
+    whole.write.mode("overwrite").parquet(f"{path}/v{number}")
+    return number
+
+
 def whole_text(chapters: DataFrame, by: str) -> DataFrame:
     """by, text: stripped chapter texts in order, a blank line between them and a line break at the end."""
     from fabula.functions.text import strip

@@ -1,12 +1,13 @@
 """Incremental runs over folders of texts: Structured Streaming with AvailableNow.
 
-An extension: a restarted run reads only files that earlier runs haven't seen,
-and the checkpoint makes each micro-batch happen once.
+An extension: a restarted run reads only files that earlier runs haven't seen.
+A micro-batch may be run again after a failure, so each has a folder of its own,
+which a second run replaces: its rows are there once.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from fabula.operators.dialogue import MAX_CHARS, PROFILES, parse_book
 
@@ -17,7 +18,7 @@ def run_once(spark: SparkSession, source: str, out: str, checkpoint: str, most:
     fresh = spark.readStream.schema(schema).parquet(source)
 
     def store(batch: DataFrame, number: int) -> None:
-        parse_book(batch, most=most, profiles=profiles).withColumn("batch", F.lit(number)).write.mode("append").parquet(out)
+        parse_book(batch, most=most, profiles=profiles).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     query = fresh.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(store).start()
     query.awaitTermination()
