@@ -69,6 +69,11 @@ def _closed(state: Column) -> Column:
     return F.when(state["open"] == "", state["done"]).otherwise(F.array_append(state["done"], state["open"]))
 
 
+def _check(most: int) -> None:
+    if most <= 0:
+        raise ValueError("most must be positive")
+
+
 def _word_pieces(most: int, gap: str) -> str:
     """Alternatives that match, from left to right, the chunks of words that one of the characters ``gap`` parts.
 
@@ -87,8 +92,7 @@ def pack_words(t: Column, most: int) -> Column:
 
     One pass of a regular expression: greedy matching takes what greedy packing does.
     """
-    if most <= 0:
-        raise ValueError("most must be positive")
+    _check(most)
     return F.regexp_extract_all(compact(t), F.lit(_word_pieces(most, " ")), 0)
 
 
@@ -98,8 +102,7 @@ def pack_sentences(t: Column, most: int) -> Column:
     Sentence ends become line breaks, which a compact text has none of; whole
     sentences that fit are taken first, else the words of one sentence.
     """
-    if most <= 0:
-        raise ValueError("most must be positive")
+    _check(most)
     t = compact(t)
     marked = F.regexp_replace(t, "(?<=[.!?…]) ", "\n")
     whole = rf"(?:\A|(?<=\n))(?s:.{{1,{most}}})(?=\n|\z)"
@@ -109,6 +112,7 @@ def pack_sentences(t: Column, most: int) -> Column:
 
 def pack_neighbors(chunks: Column, most: int) -> Column:
     """Neighbouring chunks joined while they fit."""
+    _check(most)
 
     def step(s: Column, x: Column) -> Column:
         return F.when(F.length(_joined(s, x)) <= most, _state(s["done"], _joined(s, x))).otherwise(_state(_closed(s), x))
@@ -161,7 +165,7 @@ def balance(units: list[str], most: int) -> list[str]:
 
 def balanced(units: Column, most: int) -> Column:
     """``balance`` of an array of sentences."""
-
+    _check(most)
     return _arrays(lambda u: balance(list(u), most))(units)
 
 
@@ -211,13 +215,13 @@ def _arrays(function):
 
 def chunk_text(t: Column, most: int = 250) -> Column:
     """A text in chunks of up to ``most`` characters, balanced within paragraphs, packed across them."""
-    if most <= 0:
-        raise ValueError("most must be positive")
+    _check(most)
     return _arrays(lambda text: chunked(text, most))(t)
 
 
 def chunk_paragraphs(paras: Column, most: int = 250) -> Column:
     """``chunk_text`` of a chapter's paragraphs, numbers in words first."""
+    _check(most)
     return _arrays(lambda row: chunked("\n\n".join(filter(None, (spell(p).strip() for p in row))), most))(paras)
 
 
@@ -226,6 +230,7 @@ def chunk_lines(t: Column, most: int = 250) -> Column:
 
     Lines within the limit stay as they are; longer ones are chunked as texts.
     """
+    _check(most)
 
     def lines_of(text: str) -> list[str]:
         rows = filter(None, map(str.strip, spell(text).splitlines()))

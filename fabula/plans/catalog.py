@@ -353,7 +353,9 @@ def atempo_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tone_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "part").select("p_partkey", audio.tone_filter(F.concat(F.col("p_size").cast("string"), F.lit("%")), 48000).alias("filter"))
+    """Rising, falling and unchanged tones, and ones in hertz."""
+    spec = F.expr("CASE p_partkey % 4 WHEN 0 THEN CAST(p_size AS STRING) || '%' WHEN 1 THEN '-' || CAST(p_size AS STRING) || '%' WHEN 2 THEN '+0%' ELSE CAST(p_size AS STRING) || ' hz' END")
+    return _table(spark, sf_dir, "part").select("p_partkey", audio.tone_filter(spec, 48000).alias("filter"))
 
 
 def playlist_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -508,7 +510,8 @@ _SQL |= {
         "string_agg('[' || role || ']: ' || text, chr(10) ORDER BY turn) || chr(10) AS lines FROM conversations GROUP BY conv_id"
     ),
     "tone_filter": (
-        "SELECT p_partkey, format('asetrate=48000*{:.9f},aresample=48000,atempo={:.6f}', 1 + p_size / 100.0::DOUBLE, 1 / (1 + p_size / 100.0::DOUBLE)) AS filter FROM part"
+        "SELECT p_partkey, CASE WHEN f = 1 THEN 'copy' ELSE format('asetrate=48000*{:.9f},aresample=48000,atempo={:.6f}', f, 1 / f) END AS filter "
+        "FROM (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 1 + p_size / 100.0::DOUBLE WHEN 1 THEN 1 - p_size / 100.0::DOUBLE WHEN 2 THEN 1.0::DOUBLE ELSE (200 + p_size) / 200.0::DOUBLE END AS f FROM part)"
     ),
     "synth_plan": (
         f"SELECT doc_id, CASE WHEN c <> '' AND c = s THEN '<speak><p>' || {_of(_ESCAPE, 't')} || '</p></speak>' END AS try_markup, nullif(c, '') AS try_text, CASE WHEN c <> '' AND a <> '' AND a <> c THEN a END AS try_allowed "

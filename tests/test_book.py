@@ -208,6 +208,10 @@ def test_synthesis(spark):
     made = synth.synthesize(planned, lambda: synth.ToneDouble(8000, refuse)).cache()
     assert {r.i: r.attempt for r in made.collect()} == {0: "text", 1: "text", 2: None, 3: "allowed"}
     assert [(r.i, r.reason) for r in synth.rejected(made).collect()] == [(2, "empty after cleaning")]
+    spent = synth.elapsed(made, ["b"]).first()
+    assert spent.n_chunks == 4 and spent.seconds > 0
+    again = {r.i: r.try_allowed for r in synth.plan(df, " абвгдежзийклмнопрсту", "again").collect()}
+    assert again[0] == "да" and again[2] is None
     r = synth.join_chapters(made, ["b"], "i", 0.1).first()
     assert r.n_parts == 3 and synth.sample_rate(bytes(r.wav)) == 8000
     assert len(bytes(r.wav)) == 44 + 2 * (8 * (2 + 3 + 2) + 2 * 800)
@@ -229,6 +233,48 @@ def test_incremental(spark, tmp_path):
     assert sorted((r.doc_id, r.text) for r in spark.read.parquet(out).collect()) == [(1, "А."), (2, "*Б*?"), (3, "В.")]
 
 
+def test_a_batch_that_is_run_again_is_there_once(spark, tmp_path):
+    from fabula.streaming.incremental import run_once
+
+    src, out, mark = (str(tmp_path / x) for x in ("in", "out", "mark"))
+    spark.createDataFrame([(1, "а")], "doc_id long, text string").write.parquet(src)
+    run_once(spark, src, out, mark)
+    run_once(spark, src, out, str(tmp_path / "other"))  # as after a checkpoint that was lost
+    assert [(r.doc_id, r.batch) for r in spark.read.parquet(out).collect()] == [(1, 0)]
+
+
+def test_tables_by_key(spark, tmp_path):
+    path = str(tmp_path / "state")
+    assert writers.read_keyed(spark, path) is None
+    row = lambda *r: spark.createDataFrame(list(r), "k string, v int")
+    assert writers.write_keyed(row(("a", 1), ("b", 2)), path, ["k"]) == 0
+    assert writers.write_keyed(row(("b", 3), ("c", 4)), path, ["k"]) == 1
+    (tmp_path / "state" / "v2").mkdir()  # a run that was cut off
+    assert sorted(map(tuple, writers.read_keyed(spark, path).collect())) == [("a", 1), ("b", 3), ("c", 4)]
+
+
+def test_model_folder():
+    assert readers.model_folder("M", "x", {"M": "/m", "HOME": "/h"}) == "/m"
+    assert readers.model_folder("M", "x", {"XDG_CACHE_HOME": "/c", "HOME": "/h"}) == "/c/x"
+    assert readers.model_folder("M", "x", {"HOME": "/h"}) == "/h/.cache/x"
+
+
+def test_long_texts_pack_as_the_plain_fold_does(spark):
+    import random
+
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("ab.!?… \n") for _ in range(rng.randrange(200))) for _ in range(60)] + ["слово " * 20_000, "я" * 5000 + " " + "ab. " * 3000]
+    for most in (1, 2, 7, 30):
+        got = values(spark, texts, lambda t, m=most: segment.pack_words(t, m))
+        assert got == [segment.words_within(t, most) for t in texts]
+
+
+def test_limits_must_be_positive():
+    for function in (segment.pack_words, segment.pack_sentences, segment.pack_neighbors, segment.balanced, segment.chunk_text, segment.chunk_paragraphs, segment.chunk_lines):
+        with pytest.raises(ValueError):
+            function(F.lit("x"), 0)
+
+
 def test_dotenv():
     env = {"A": "1"}
     assert readers.load_dotenv("# x\nA=2\nB='q'\n=z\nbad\n", env) == {"B": "q"} and env == {"A": "1", "B": "q"}
