@@ -496,6 +496,25 @@ def test_query_equals_sql(spark, name):
     assert spark_rows(queries.queries()[name](spark, SF)) == sql_rows(connect(SF), queries.oracle_sql()[name])
 
 
+def test_pipeline_stages_on_odd_rows(spark, tmp_path):
+    """Nulls, empty texts, repeated rows and clashing columns pass every stage; the columns stay."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(9)
+    rows = [(k, words(rng, 50), f"s{k % 3}") for k in range(12)]
+    rows += [(3, rows[3][1], "s0"), (20, rows[5][1], "s1"), (None, rows[6][1], None), (21, None, "s1"), (22, "", "s2"), (23, words(rng, 30_000), "s0")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    docs = docs.withColumns({c: F.lit(1) for c in ("lang", "n_chars", "blocks", "cut", "component_id", "kept", "slot", "of", "score")})
+    spark.createDataFrame([(k, 0, 0) for k in range(8)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, "nothing of this kind is in there"), (None, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        none = stage(spark, docs.limit(0), str(tmp_path)).count()
+        if name != "token_ids":
+            assert out.columns == docs.columns, name
+        left = {r.doc_id for r in out.select("doc_id").collect()}
+        assert left == {r[0] for r in rows} - ({20} if name == "minhash_near_dedup" else set()) and none == 0, name
+
+
 def test_pipeline(spark):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     docs = spark.read.parquet(f"{SF}/documents.parquet")
