@@ -18,10 +18,10 @@ from functools import reduce
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from fabula.llm.pii import found_spans
-from fabula.llm.runtime import keep_columns
+from fabula.llm.runtime import Scratch, keep_columns
 
 LEAST_LENGTH = 6
 _KEY_LIKE = "A-Za-z0-9+/=_-"
@@ -89,7 +89,8 @@ def labelled_findings(spark: SparkSession, each: int = 250) -> DataFrame:
     """Findings made by rule: value, before, after, path, label, family; ``each`` of every form.
 
     Families differ in what their values are made of, or (``other``) in what
-    surrounds them, so that a forest can be tested on forms it hasn't seen.  Secrets: random hex,
+    surrounds them, so that a forest can be tested on forms it hasn't seen.  They
+    are written to the shared folder once.  Secrets: random hex,
     base64 and alphanumeric strings, tokens of several parts and passwords in
     key-like contexts, or assigned in quotes.  Others: the same strings among words
     for hashes, plain numbers, identifiers and paths of words with a number, dates,
@@ -98,20 +99,28 @@ def labelled_findings(spark: SparkSession, each: int = 250) -> DataFrame:
     i = F.col("id")
     digest = lambda salt: F.sha2(F.concat_ws("-", F.lit(salt), i.cast("string")), 256)
     pick = lambda options, salt: F.element_at(F.array(*[F.lit(x) for x in options]), F.pmod(F.xxhash64(i, F.lit(salt)), F.lit(len(options))).cast("int") + 1)
-    hexed = F.substring(digest("h"), F.lit(1), pick([32, 40, 48, 64], "n"))
-    base = F.regexp_replace(F.base64(F.unhex(digest("b"))), "[+/=]", "x")
-    coded = F.substring(base, F.lit(1), pick([20, 24, 32, 40], "m"))
-    word = lambda salt: pick(DICTIONARY, salt)
+    # the parts of the forms are columns, so that each has its code once
+    parts = {f"word_{salt}": pick(DICTIONARY, salt) for salt in "abcw"} | {
+        "hexed": F.substring(digest("h"), F.lit(1), pick([32, 40, 48, 64], "n")),
+        "base": F.regexp_replace(F.base64(F.unhex(digest("b"))), "[+/=]", "x"),
+        "size": pick([20, 24, 32, 40], "m"),
+        "number": F.lpad(F.abs(F.xxhash64(i, F.lit("d"))).cast("string"), 18, "7"),
+        "keys": pick(['token = "', "api_key: ", 'secret="', "password = '", "Authorization: Bearer ", "access_key=", 'auth_token: "', "private key "], "k"),
+        "other_keys": pick(['client_secret": "', "export AUTH=", "credential ", "--password=", "pwd: ", 'apikey => "'], "o"),
+        "plain": pick(["commit ", "sha256: ", "md5 = ", "checksum ", "revision ", "digest: ", "version ", "uuid "], "p"),
+        "prose": pick(["the ", "and in ", "of ", "see ", "| ", "und ", "les ", "del "], "q"),
+        "ends": pick(['"', "'\n", " and then", ".", "\n", ""], "e"),
+        "after_key": pick([" is the token", " as password", " (secret)"], "ak"),
+        "after_plain": pick([" is the checksum", " (commit)", " as example"], "ap"),
+    }
+    hexed, base, number, keys, other_keys, plain, prose, ends, after_key, after_plain = (
+        F.col(name) for name in ("hexed", "base", "number", "keys", "other_keys", "plain", "prose", "ends", "after_key", "after_plain")
+    )
+    word = lambda salt: F.col(f"word_{salt}")
     cut = lambda text, a, n: F.substring(text, a, n)
-    number = F.lpad(F.abs(F.xxhash64(i, F.lit("d"))).cast("string"), 18, "7")
+    nothing, coded = F.lit(" "), F.substring(base, F.lit(1), F.col("size"))
     parted = F.concat_ws(".", cut(base, 1, 18), F.regexp_replace(F.base64(F.unhex(digest("p"))), "[+/=]", "Q"), cut(F.regexp_replace(F.base64(F.unhex(digest("q"))), "[+/=]", "z"), 1, 27))
     passed = F.concat(F.initcap(word("w")), pick(["!", "$", "#", "@", "%", "&"], "s"), cut(number, 1, 4), pick(["x", "Q", "!", "z9"], "t"))
-    keys = pick(['token = "', "api_key: ", 'secret="', "password = '", "Authorization: Bearer ", "access_key=", 'auth_token: "', "private key "], "k")
-    other_keys = pick(['client_secret": "', "export AUTH=", "credential ", "--password=", "pwd: ", 'apikey => "'], "o")
-    plain = pick(["commit ", "sha256: ", "md5 = ", "checksum ", "revision ", "digest: ", "version ", "uuid "], "p")
-    prose = pick(["the ", "and in ", "of ", "see ", "| ", "und ", "les ", "del "], "q")
-    ends = pick(['"', "'\n", " and then", ".", "\n", ""], "e")
-    nothing, after_key, after_plain = F.lit(" "), pick([" is the token", " as password", " (secret)"], "ak"), pick([" is the checksum", " (commit)", " as example"], "ap")
     slug = lambda gap, n: F.concat_ws(gap, word("a"), word("b"), word("c"), cut(number, 1, n))
     long_word = F.concat(word("a"), word("b"), word("c"), word("w"))
     forms = [
@@ -127,16 +136,36 @@ def labelled_findings(spark: SparkSession, each: int = 250) -> DataFrame:
         ("dummy", F.concat(F.lit("your_"), word("a"), F.lit("_key_here_"), cut(number, 1, 1)), keys, ends, 0), ("dummy", F.repeat(F.lit("x"), 20), other_keys, ends, 0), ("dummy", F.lit("changeme"), keys, ends, 0),
     ]
     path = pick(["src/app/main", "config/settings", "deploy/env", "notes", "lib/core"], "path")
-    at = lambda n: spark.range(each).withColumn("id", i + n * each)
-    made = [at(n).select(value.alias("value"), before.alias("before"), after.alias("after"), path.alias("path"), F.lit(label).alias("label"), F.lit(family).alias("family")) for n, (family, value, before, after, label) in enumerate(forms)]
-    in_tests = at(7_000_000).select(coded.alias("value"), keys.alias("before"), ends.alias("after"), F.lit("tests/fixtures/example").alias("path"), F.lit(0).alias("label"), F.lit("tests").alias("family"))
-    return reduce(DataFrame.unionByName, [*made, in_tests]).where(F.length("value") >= LEAST_LENGTH)
+    forms.append(("tests", coded, keys, ends, 0))
+    last = len(forms) - 1
+    # one plan for all forms: as a union of a plan each, the driver would compile and keep dozens of classes a pass
+    rows = spark.range(each * len(forms)).withColumn("form", F.floor(i / each).cast("int"))
+    rows = rows.withColumn("id", F.when(F.col("form") == last, F.pmod(i, F.lit(each)) + 7_000_000 * each).otherwise(i)).withColumns(parts)
+
+    def of_form(k: int) -> Column:
+        same: dict[int, list[int]] = {}
+        for n, form in enumerate(forms):
+            same.setdefault(id(form[k]), []).append(n)
+        cases = [(F.col("form").isin(ns), forms[ns[0]][k]) for ns in same.values()]
+        return reduce(lambda out, case: out.when(*case), cases[1:], F.when(*cases[0]))
+
+    value, before, after = (of_form(k).alias(name) for k, name in ((1, "value"), (2, "before"), (3, "after")))
+    fixed = lambda k: F.element_at(F.array(*[F.lit(form[k]) for form in forms]), F.col("form") + 1)
+    path = F.when(F.col("form") == last, F.lit("tests/fixtures/example")).otherwise(path)
+    made = rows.select(value, before, after, path.alias("path"), fixed(4).alias("label"), fixed(0).alias("family"))
+    # written, as a condition would be pushed below the parts and hold the code of all forms again
+    return Scratch(spark, "secrets").write(made, "made").where(F.length("value") >= LEAST_LENGTH)
 
 
 def train(findings: DataFrame, rows: int = TRAIN_ROWS) -> RandomForestClassificationModel:
-    """The forest from labelled findings: value, before, after, path, label (0 or 1); at most ``rows``, those of the least hash."""
+    """The forest from labelled findings: value, before, after, path, label (0 or 1); at most ``rows``, those of the least hash.
+
+    What is chosen is written with its features, so the forest's passes read a
+    small table instead of making the findings again each.
+    """
     known = findings.where("value is not null and value <> '' and label in (0, 1)").select("value", "before", "after", "path", F.col("label").cast("double").alias("label"))
-    chosen = with_features(known.orderBy(F.xxhash64("value", "before"), "value").limit(rows))
+    chosen = with_features(known.orderBy(F.xxhash64("value", "before"), "value", "before", "after", "path", "label").limit(rows))
+    chosen = Scratch(findings.sparkSession, "secrets").write(chosen.select("label", *FEATURES), "findings")
     ready = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(chosen).select("label", "features")
     return RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=7, subsamplingRate=0.8).fit(ready)
 

@@ -662,3 +662,12 @@ def test_leaks_equal_brute_force(spark, empty):
     assert decontaminate.leaks(frame(spark, docs), bench.where("false")).count() == 0
     clean = decontaminate.decontaminated(frame(spark, docs), bench)
     assert clean.columns == empty.columns and sorted(str(r.doc_id) for r in clean.collect()) == sorted([*map(str, range(30)), "200", "201"])
+
+
+def test_findings_are_made_once(spark):
+    """No plan for each form, which the driver would compile again in every pass of the forest."""
+    found = secrets.labelled_findings(spark, each=20)
+    assert found.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan and "Range" not in plan
+    assert found.select("family").distinct().count() == 11 and found.where("family = 'tests' and label = 0 and path = 'tests/fixtures/example'").count() == 20
