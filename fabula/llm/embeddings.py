@@ -1,4 +1,4 @@
-"""Near-duplicate vectors: all pairs of small tables, NN-descent with an audit for large ones.
+"""Near-duplicate vectors: NN-descent, then all pairs, at every size.
 
 1. Equal vectors become one, with a count.  Vectors that are null, zero or hold
    null or non-finite components take no part.
@@ -18,17 +18,17 @@
    to no more than the threshold's angle, all pairs are links and only their
    numbers count, so large tight groups need no pairs; where they differ by more,
    none is, so long chains need few.
-5. An audit compares a sample of the vectors without a link, and one member of
-   each of some components, with all vectors.  A vector counts as missed if it
-   has any link out of its component, so large groups count no more than others.
-   The sample is as large as the evidence needs: even if it shows no miss, the
-   vectors missed could be three in a sample.  What the audit finds is kept.
-   Below the target the search goes on from fresh orders.
-6. All pairs are compared, in slabs that are sent to where the vectors are, if
-   the table has at most EXACT_ROWS distinct vectors, if the audit would need
-   half the table, or if the search ends below the target.  So no result is
-   returned that has not reached the target.  This takes time with the square of
-   the rows, but shuffles nothing and sends out only what joins components.
+5. In large tables an audit compares a sample of the vectors without a link, and
+   one member of each of some components, with all vectors.  A vector counts as
+   missed if it has any link out of its component, so large groups count no more
+   than others.  The sample is as large as the evidence needs: even if it shows no
+   miss, the vectors missed could be three in a sample.  What the audit finds is
+   kept.  Below the target the search goes on from fresh orders.
+6. Then all pairs are compared, whatever the size and the audit, in slabs that are
+   sent to where the vectors are.  So every link is found, and the result doesn't
+   depend on what the search finds, which only makes what is left to join small.
+   This takes time with the square of the rows, but shuffles nothing and sends out
+   only what joins components.
 """
 
 from __future__ import annotations
@@ -59,7 +59,7 @@ MARGIN = 1e-4
 #: Vectors that an audit compares at least, and components of which it compares a member.
 AUDIT_QUERIES = 256
 AUDIT_RECALL = 0.99
-#: Up to so many distinct vectors all pairs are compared without a search.
+#: Up to so many distinct vectors one start of the search is enough, without an audit; results are the same, as all pairs are compared at every size.
 EXACT_ROWS = 150_000
 #: Bytes of vectors sent out at once to be compared with all.
 SLAB_BYTES = 32 << 20
@@ -278,6 +278,19 @@ def compared(some: DataFrame, reps: DataFrame, component: DataFrame | None, scra
     return out if out is not None else spark.createDataFrame([], "a long, b long")
 
 
+def _linked_pairs(v: np.ndarray, x: np.ndarray, of: np.ndarray, label: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of v and of x that are links between different labels: sought in single precision, confirmed in double."""
+    margin = MARGIN + v.shape[1] * 2.0**-23  # more than the products in single precision can be off
+    a, b = np.nonzero(v.astype(np.float32) @ x.astype(np.float32).T >= threshold - margin)
+    keep = of[a] != label[b]
+    a, b = a[keep], b[keep]
+    sure = np.zeros(len(a), bool)
+    for lo in range(0, len(a), COLUMNS):
+        part = slice(lo, lo + COLUMNS)
+        sure[part] = np.einsum("ij,ij->i", v[a[part]], x[b[part]]) >= threshold
+    return a[sure], b[sure]
+
+
 def _comparison(held, threshold: float, once: bool):
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, label, x = held.value
@@ -289,11 +302,9 @@ def _comparison(held, threshold: float, once: bool):
                 part = slice(lo, lo + STRIP)
                 first = int(np.searchsorted(ids, own[lo], "right")) if once else 0
                 for at in range(first, len(ids), COLUMNS):
-                    a, b = np.nonzero(v[part] @ x[at : at + COLUMNS].T >= threshold)
+                    a, b = _linked_pairs(v[part], x[at : at + COLUMNS], of[part], label[at : at + COLUMNS], threshold)
                     a, b = a + lo, b + at
-                    keep = of[a] != label[b]
-                    if once:
-                        keep &= own[a] < ids[b]
+                    keep = own[a] < ids[b] if once else np.ones(len(a), bool)
                     links.append((own[a[keep]], ids[b[keep]]))
                     n += int(keep.sum())
                     if n > HELD_LINKS:
@@ -425,14 +436,11 @@ def _linked_vectors(rows: DataFrame, width: int, threshold: float, scratch: Scra
     total = reps.count()
     graph, component, turn = None, None, 0
     orders = max(1, ORDERS_A_BIT * total.bit_length())
-    whole = False
     for attempt in range(ATTEMPTS):
         pairs = ordered_neighbours(reps, range(attempt * orders, (attempt + 1) * orders), shuffle_parts(spark))
         pairs = pairs.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
         measured = scratch.write(_measured(pairs, reps), "measured")
         component = _merged(component, _joining(measured, reps, component, threshold), scratch)
-        if total <= EXACT_ROWS:
-            break
         known = measured if graph is None else graph.select("u", "v", "sim").unionByName(measured)
         graph = _replaced(scratch, known, component, graph, measured)
         while True:
@@ -449,16 +457,16 @@ def _linked_vectors(rows: DataFrame, width: int, threshold: float, scratch: Scra
             forget(spark)
             if not merging and fresh <= CHANGED * total * LISTED:
                 break
+        if total <= EXACT_ROWS:
+            break
         audited = audit(reps, component, scratch, threshold, total)
         if audited is None:
             break
         recall, links = audited
         component = _merged(component, links, scratch)
-        whole = recall >= AUDIT_RECALL
-        if whole:
+        if recall >= AUDIT_RECALL:
             break
-    if not whole:
-        component = _merged(component, compared(reps, reps, component, scratch, threshold, once=True), scratch)
+    component = _merged(component, compared(reps, reps, component, scratch, threshold, once=True), scratch)
     counts = scratch.write(component_links(component, reps, scratch, threshold), "counts")
     named = reps.select("id", "copies").join(component, "id", "left").join(counts, "id", "left")
     named = named.select(F.col("id").alias("rep"), F.coalesce("component", "id").alias("component_id"), (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))

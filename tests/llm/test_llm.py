@@ -671,3 +671,19 @@ def test_findings_are_made_once(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "Union" not in plan and "Range" not in plan
     assert found.select("family").distinct().count() == 11 and found.where("family = 'tests' and label = 0 and path = 'tests/fixtures/example'").count() == 20
+
+
+def test_vectors_are_compared_at_every_size(spark, monkeypatch):
+    """The search runs below EXACT_ROWS too, and beyond it no audit lets a link go that the search has missed."""
+    turns = []
+    descend = embeddings.descend
+    monkeypatch.setattr(embeddings, "descend", lambda *a: turns.append(a[3]) or descend(*a))
+    x = lonely_pairs(600, 100, 30)
+    assert_vectors_exact(spark, x)
+    assert turns
+    nothing = spark.createDataFrame([], "a long, b long")
+    monkeypatch.setattr(embeddings, "EXACT_ROWS", 0)
+    monkeypatch.setattr(embeddings, "audit", lambda *a: (1.0, nothing))
+    monkeypatch.setattr(embeddings, "descend", lambda graph, *a: graph.select("u", "v", "sim").limit(0))
+    monkeypatch.setattr(embeddings, "ORDERS_A_BIT", 0)
+    assert_vectors_exact(spark, x)
