@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fabula.llm import decontaminate, embeddings, linededup, mixing, neardup, pii, secrets, substrings, tokenout, toxicity
+from fabula.llm.runtime import Scratch
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,8 +53,7 @@ def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = tokenout.training_order(_table(spark, sf_dir, "documents"))
-    return placed.withColumn("ids_sha256", F.sha2("ids", 256)).drop("ids")
+    return tokenout.written_order(_table(spark, sf_dir, "documents"), Scratch(spark, "shards").root)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

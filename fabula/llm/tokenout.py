@@ -40,6 +40,8 @@ LENGTH = 1024
 SHARD_SIZE = 4096
 #: Up to so many numbers of shards (8 bytes each) are broadcast.
 BROADCAST_SHARDS = 1 << 20
+#: Shards are written in up to so many passes, each over a range of them, so that only a part of all sequences is shuffled at a time.
+PASSES = 4
 #: Words whose tokens a worker remembers.
 REMEMBERED = 600_000
 
@@ -223,11 +225,11 @@ def slotted(documents: DataFrame, path: str, length: int, key: int, end: int) ->
     return rows.withColumn("slot", slot("number")).select("slot", "doc_id", "seq_no", "n_tokens", "ids"), total
 
 
-def in_ranges(rows: DataFrame, total: int, size: int, *order: str) -> DataFrame:
-    """``rows`` in one partition for each of as many even ranges of whole units of ``size`` slots as there are partitions, sorted within."""
+def in_ranges(rows: DataFrame, total: int, size: int, *order: str, first: int = 0) -> DataFrame:
+    """``rows`` of ``total`` slots from ``first`` on in one partition for each of as many even ranges of whole units of ``size`` slots as there are partitions, sorted within."""
     parts = shuffle_parts(rows.sparkSession)
     each = -(-max(1, -(-total // size)) // parts) * size
-    return rows.repartitionById(parts, F.floor(F.col("slot") / each).cast("int")).sortWithinPartitions(*order)
+    return rows.repartitionById(parts, F.floor((F.col("slot") - first) / each).cast("int")).sortWithinPartitions(*order)
 
 
 def training_order(documents: DataFrame, path: str = TOKENIZER, length: int = LENGTH, shard_size: int = SHARD_SIZE, key: int = 0x5EED, end: int = END_TOKEN) -> DataFrame:
@@ -238,10 +240,28 @@ def training_order(documents: DataFrame, path: str = TOKENIZER, length: int = LE
     sequences each.  A null doc_id sorts first.  An empty table gives no rows.
     """
     rows, total = slotted(documents, path, length, key, end)
-    placed = in_ranges(rows, total, 1, "slot")
-    return placed.select(
-        "slot", F.floor(F.col("slot") / shard_size).cast("long").alias("shard"), (F.pmod("slot", F.lit(shard_size)) * stride(length)).cast("long").alias("byte_offset"), "doc_id", "seq_no", "n_tokens", "ids"
-    )
+    return _with_places(in_ranges(rows, total, 1, "slot"), length, shard_size, "doc_id", "seq_no", "n_tokens", "ids")
+
+
+def _with_places(rows: DataFrame, length: int, shard_size: int, *columns: str) -> DataFrame:
+    """slot, shard, byte_offset and ``columns`` of rows with a slot."""
+    shard, offset = F.floor(F.col("slot") / shard_size), F.pmod("slot", F.lit(shard_size)) * stride(length)
+    return rows.select("slot", shard.cast("long").alias("shard"), offset.cast("long").alias("byte_offset"), *columns)
+
+
+def written_order(documents: DataFrame, out: str, path: str = TOKENIZER, length: int = LENGTH, shard_size: int = SHARD_SIZE, key: int = 0x5EED, end: int = END_TOKEN) -> DataFrame:
+    """Writes the shards as ``write_shards`` does and returns what they hold: slot, shard, byte_offset, doc_id, seq_no, n_tokens, ids_sha256.
+
+    n_tokens and the digest of the ids come from the records as they are read back
+    from the files; doc_id and seq_no, which records don't hold, join them by slot.
+    In range partitions sorted by slot.  Nulls, empty texts and repeated rows as
+    in ``training_order``; an empty table gives no rows and no shards.
+    """
+    rows, total = slotted(documents, path, length, key, end)
+    _write_slotted(rows, total, out, length, shard_size, end)
+    read = read_shards(documents.sparkSession, out, 0, shard_size, length).select("slot", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"))
+    held = rows.select("slot", "doc_id", "seq_no").join(read, "slot", "left")
+    return _with_places(in_ranges(held, total, 1, "slot"), length, shard_size, "doc_id", "seq_no", "n_tokens", "ids_sha256")
 
 
 def stride(length: int) -> int:
@@ -258,8 +278,12 @@ def write_shards(documents: DataFrame, out: str, path: str = TOKENIZER, length:
     stride.  Nulls, empty texts and repeated rows as in ``training_order``; an
     empty table gives no shards.
     """
-    spark = documents.sparkSession
-    rows, total = slotted(documents, path, length, key, end)
+    return _write_slotted(*slotted(documents, path, length, key, end), out, length, shard_size, end)
+
+
+def _write_slotted(rows: DataFrame, total: int, out: str, length: int, shard_size: int, end: int) -> int:
+    """Writes the shards that lack, in passes over ranges of shards; their number."""
+    spark = rows.sparkSession
     manifest = spark.range(-(-total // shard_size)).select(F.col("id").alias("shard"), (F.col("id") * shard_size).alias("first_slot"))
     manifest = manifest.withColumns({"n_records": F.least(F.lit(shard_size), F.lit(total) - F.col("first_slot")), "stride": F.lit(stride(length))})
     manifest.write.mode("overwrite").json(f"{out}/manifest")
@@ -274,9 +298,14 @@ def write_shards(documents: DataFrame, out: str, path: str = TOKENIZER, length:
         record = F.concat(byte(F.pmod("n_tokens", F.lit(256))), byte(F.floor(F.col("n_tokens") / 256)), F.substring(F.concat("ids", F.lit(pad)), 1, 2 * length))
         held = rows.withColumn("shard", F.floor(F.col("slot") / shard_size).cast("long"))
         held = held.join(F.broadcast(lacking) if count <= BROADCAST_SHARDS else lacking, "shard", "left_semi")
-        placed = in_ranges(held, total, shard_size, "shard", "slot").select(record.cast("string").alias("value"), "shard")
-        # in the order of shards, so the writer keeps the order and has one file open at a time
-        placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", 0).option("lineSep", "\n").partitionBy("shard").text(f"{out}/shards")
+        shards = -(-total // shard_size)
+        each = -(-shards // max(1, min(PASSES, shards // PASSES))) * shard_size
+        for first in range(0, total, each):
+            some = held.where((F.col("slot") >= first) & (F.col("slot") < first + each))
+            placed = in_ranges(some, min(each, total - first), shard_size, "shard", "slot", first=first).select(record.cast("string").alias("value"), "shard")
+            # in the order of shards, so the writer keeps the order and has one file open at a time
+            placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", 0).option("lineSep", "\n").partitionBy("shard").text(f"{out}/shards")
+            forget(spark)
     return count
 
 

@@ -687,3 +687,17 @@ def test_vectors_are_compared_at_every_size(spark, monkeypatch):
     monkeypatch.setattr(embeddings, "descend", lambda graph, *a: graph.select("u", "v", "sim").limit(0))
     monkeypatch.setattr(embeddings, "ORDERS_A_BIT", 0)
     assert_vectors_exact(spark, x)
+
+
+def test_token_ids_come_from_written_shards(spark, docs, empty, tmp_path, monkeypatch):
+    """The query writes the shards, in several passes, and its rows are those of ``training_order``."""
+    out = []
+    written = tokenout.written_order
+    monkeypatch.setattr(tokenout, "written_order", lambda d, o: out.append(o) or written(d, o, shard_size=90))
+    got = queries.op10_token_ids(spark, SF)
+    docs_sf = spark.read.parquet(f"{SF}/documents.parquet")
+    expected = tokenout.training_order(docs_sf, shard_size=90).withColumn("ids_sha256", F.sha2("ids", 256)).drop("ids")
+    assert got.columns == expected.columns and dict(got.dtypes) == dict(expected.dtypes)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, expected.collect()))
+    assert sum(r.length for r in tokenout.shard_files(spark, out[0]).select("length").collect()) == expected.count() * tokenout.stride(1024)
+    assert written(empty, str(tmp_path / "none")).count() == 0
