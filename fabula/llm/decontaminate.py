@@ -33,7 +33,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from fabula.llm import kernels as K
 from fabula.llm.runtime import keep_columns, ship
@@ -57,7 +57,7 @@ RECALL = 0.95
 MOST_HITS = 4
 #: With fewer steps in all colliding windows together there would be many candidates, and more repeats are taken.
 LEAST_COVER = 96
-#: Items and edited copies on which the classes are measured, for each of the item sizes (two to a doubling).
+#: All items are measured, in groups of about so many of one size (two sizes to a doubling), each group on so many edited copies.
 SAMPLE, COPIES = 48, 480
 #: Items are broadcast in blocks of at most this many characters.
 BLOCK_CHARS = 2 << 20
@@ -183,44 +183,88 @@ def _joined(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int64)
 
 
-def measured_plan(texts: list[str], percent: float, recall: float) -> dict[int, tuple[int, int, int]]:
-    """For each class of item sizes the steps and repeats of windows and the windows that must collide; none where no windows do.
+def measured_hits(size: int, group: int, texts: list[str], percent: float) -> dict[tuple[int, int], np.ndarray]:
+    """For steps and repeats how many of COPIES edited copies of the texts (folded, of one size class) have 0, 1, .. MOST_HITS and more colliding windows."""
+    rng = np.random.default_rng([size, group] if group else size)
+    some = sorted(texts)
+    items = [np.frombuffer(t.encode(), np.uint8) for t in some]
+    of = np.resize(np.arange(len(items)), max(COPIES, len(items)))  # every item has a copy
+    copies = [np.append(edited(items[k], int(len(some[k]) * percent // 100), rng), np.uint8(32)) for k in of]
+    (own, own_rows), (other, rows) = _joined(items), _joined(copies)
+    (at, item), (there, copy) = anchors(own, own_rows), anchors(other, rows)
+    room = own_rows[item + 1] - at
+    known, seen = walk(own, at, STEPS[-1]), walk(other, there, STEPS[-1])
+    # keys of another item don't count
+    salt = K.mix(np.arange(len(items), dtype=np.uint64))
+    out = {}
+    for steps in STEPS:
+        fits = room >= 0.6 * steps
+        hit = np.zeros(len(there), bool)
+        pairs = zip(window_keys(known[:, fits], steps, REPEATS[-1]), window_keys(seen, steps, REPEATS[-1]))
+        for r, (a, b) in enumerate(pairs, 1):
+            hit |= np.isin(b + salt[of[copy]], a + salt[item[fits]])
+            if r in REPEATS:
+                n = np.minimum(np.bincount(copy[hit], minlength=len(of)), MOST_HITS)
+                out[steps, r] = np.bincount(n, minlength=MOST_HITS + 1)
+    return out
 
-    texts: folded, some of each size.  The same ones give the same plan.
-    """
+
+def planned(counts: dict[int, dict[tuple[int, int], np.ndarray]], recall: float) -> dict[int, tuple[int, int, int]]:
+    """For each class of item sizes the steps and repeats of windows and the windows that must collide, from ``measured_hits`` of all its items; none where no windows do."""
     plan = {}
-    by_size: dict[int, list[str]] = {}
-    for t in sorted(set(texts)):
-        by_size.setdefault(size_class(len(t.encode())), []).append(t)
-    for size, some in by_size.items():
-        rng = np.random.default_rng(size)
-        items = [np.frombuffer(t.encode(), np.uint8) for t in some[:SAMPLE]]
-        of = np.resize(np.arange(len(items)), COPIES)
-        copies = [np.append(edited(items[k], int(len(some[k]) * percent // 100), rng), np.uint8(32)) for k in of]
-        (own, own_rows), (other, rows) = _joined(items), _joined(copies)
-        (at, item), (there, copy) = anchors(own, own_rows), anchors(other, rows)
-        room = own_rows[item + 1] - at
-        known, seen = walk(own, at, STEPS[-1]), walk(other, there, STEPS[-1])
-        # keys of another item don't count
-        salt = K.mix(np.arange(len(items), dtype=np.uint64))
+    for size, measured in counts.items():
         found: dict[int, tuple[int, int]] = {}  # of each number of repeats what windows cover, and their steps
-        for steps in STEPS:
-            fits = room >= 0.6 * steps
-            hit = np.zeros(len(there), bool)
-            pairs = zip(window_keys(known[:, fits], steps, REPEATS[-1]), window_keys(seen, steps, REPEATS[-1]))
-            for r, (a, b) in enumerate(pairs, 1):
-                hit |= np.isin(b + salt[of[copy]], a + salt[item[fits]])
-                if r in REPEATS:
-                    n = np.sort(np.bincount(copy[hit], minlength=COPIES))
-                    need = min(MOST_HITS, int(n[int(COPIES * (1 - recall) / 4)]))
-                    found[r] = max(found.get(r, (0, 0)), (need * steps, steps))
-        for r, (cover, steps) in found.items():
+        for (steps, r), n in sorted(measured.items()):
+            need = int(np.searchsorted(np.cumsum(n), int(n.sum() * (1 - recall) / 4), "right"))
+            found[r] = max(found.get(r, (0, 0)), (need * steps, steps))
+        for r, (cover, steps) in sorted(found.items()):
             if cover and (cover >= LEAST_COVER or r == REPEATS[-1]):
                 plan[size] = (steps, r, cover // steps)
                 break
     return plan
 
 
+def measured_plan(texts: list[str], percent: float, recall: float) -> dict[int, tuple[int, int, int]]:
+    """The plan (see ``planned``) of all texts (folded); the same ones give the same plan."""
+    by_size: dict[int, list[str]] = {}
+    for t in sorted(set(texts)):
+        by_size.setdefault(size_class(len(t.encode())), []).append(t)
+    counts: dict[int, dict] = {}
+    for size, some in by_size.items():
+        for group, lo in enumerate(range(0, len(some), SAMPLE)):
+            for k, n in measured_hits(size, group, some[lo : lo + SAMPLE], percent).items():
+                of = counts.setdefault(size, {})
+                of[k] = of.get(k, 0) + n
+    return planned(counts, recall)
+
+
+def plan_of_all(items: DataFrame, percent: float, recall: float) -> dict[int, tuple[int, int, int]]:
+    """The plan (see ``planned``) of every item (text), measured on the executors in groups of about SAMPLE items of a size.
+
+    Only counts come to the driver, a few rows for each class of sizes.
+    """
+
+    def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t for t in map(folded_text, batch.column("text").to_pylist()) if t]
+            yield pa.RecordBatch.from_arrays([pa.array([size_class(len(t.encode())) for t in texts], pa.int32()), pa.array(texts, pa.string())], ["size", "text"])
+
+    def measure(key: tuple, table: pa.Table) -> pa.Table:
+        size, group = (k.as_py() for k in key)
+        counts = measured_hits(size, group, table.column("text").to_pylist(), percent)
+        rows = [(size, steps, r, k, int(c)) for (steps, r), n in counts.items() for k, c in enumerate(n) if c]
+        return pa.table([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64()))], names=["size", "steps", "repeats", "hits", "n"])
+
+    texts = items.select("text").distinct().mapInArrow(folded, "size int, text string").distinct()
+    groups = texts.groupBy("size").agg(F.ceil(F.count("*") / SAMPLE).alias("groups"))
+    dealt = texts.join(F.broadcast(groups), "size").select("size", F.pmod(F.xxhash64("text"), F.col("groups")).alias("part"), "text")
+    measured = dealt.groupBy("size", "part").applyInArrow(measure, "size int, steps int, repeats int, hits int, n long")
+    counts: dict[int, dict] = {}
+    for r in measured.groupBy("size", "steps", "repeats", "hits").agg(F.sum("n").alias("n")).collect():
+        counts.setdefault(r["size"], {}).setdefault((r.steps, r.repeats), np.zeros(MOST_HITS + 1, np.int64))[r.hits] = r.n
+    return planned(counts, recall)
+
+
 class Index:
     """The window keys and pieces of a block of items."""
 
@@ -371,10 +415,7 @@ def _blocks(benchmark: DataFrame, percent: float, recall: float, least_chars: in
     items = keep_columns(benchmark, "item_id", "text").where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
     size = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-size // BLOCK_CHARS))
-    # a bounded sample of each size, so that an item is sought alike in any block
-    sizes = items.withColumn("size", F.floor(2 * F.log2(F.octet_length("text"))))
-    some = sizes.withColumn("r", F.row_number().over(Window.partitionBy("size").orderBy(F.xxhash64("text"), "text"))).where(F.col("r") <= SAMPLE)
-    plan = measured_plan([t for t in (folded_text(r.text) for r in some.select("text").collect()) if t], percent, recall)
+    plan = plan_of_all(items, percent, recall)  # of all items, so that one is sought alike in any block
     held = []
     for k in range(blocks):
         block = [(r.item_id, r.text) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).toLocalIterator()]

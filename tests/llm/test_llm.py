@@ -701,3 +701,22 @@ def test_token_ids_come_from_written_shards(spark, docs, empty, tmp_path, monkey
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, expected.collect()))
     assert sum(r.length for r in tokenout.shard_files(spark, out[0]).select("length").collect()) == expected.count() * tokenout.stride(1024)
     assert written(empty, str(tmp_path / "none")).count() == 0
+
+
+def test_leak_thresholds_come_from_all_items(spark, monkeypatch):
+    """Every item is measured, also beyond a group of one size, here and on the executors alike."""
+    rng = random.Random(12)
+    texts = sorted({words(rng, 40)[:150].strip() for _ in range(130)})
+    seen = set()
+    plain = decontaminate.edited
+    monkeypatch.setattr(decontaminate, "edited", lambda data, *a: seen.add(data.tobytes().decode()) or plain(data, *a))
+    local = decontaminate.measured_plan(texts, 10, 0.95)
+    assert seen == set(texts)
+    counts = []
+    planned = decontaminate.planned
+    monkeypatch.setattr(decontaminate, "planned", lambda c, recall: counts.append(c) or planned(c, recall))
+    few = spark.createDataFrame([(t,) for t in texts[:40]], "text string")
+    assert decontaminate.plan_of_all(few, 10, 0.95) == decontaminate.measured_plan(texts[:40], 10, 0.95)
+    whole = decontaminate.plan_of_all(spark.createDataFrame([(t,) for t in texts], "text string"), 10, 0.95)
+    assert set(whole) == set(local)
+    assert all(n.sum() >= 2 * decontaminate.COPIES for n in max(counts[-1].values(), key=lambda c: c[48, 2].sum()).values())
