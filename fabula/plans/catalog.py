@@ -298,7 +298,9 @@ def texts_lenient(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def texts_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return readers.filled(readers.texts_of(_files(spark, sf_dir, "encode(' ' || chr(10) || text || chr(9), 'UTF-8')")))
+    """Every file's text, stripped, the empty ones' too."""
+    files = readers.texts_of(_files(spark, sf_dir, "encode(' ' || chr(10) || text || chr(9), 'UTF-8')"))
+    return readers.filled(files).select("path", "text")
 
 
 def chunk_files_read(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,28 +23,29 @@ def read_texts(spark: SparkSession, path: str, strict: bool = True) -> DataFrame
     """path, text of whole files, line breaks unified.
 
     strict: bytes that aren't UTF-8 are an error when the file is read; otherwise
-    they are replaced.
+    they are replaced.  Spark lists no files of 0 bytes, so these give no row.
     """
     return texts_of(spark.read.format("binaryFile").load(path).select("path", "content"), strict)
 
 
 def texts_of(files: DataFrame, strict: bool = True) -> DataFrame:
-    """``read_texts`` of files that are read: path, content."""
+    """``read_texts`` of files that are read: path, content; no content is no text, and no error."""
     text = F.col("content").cast("string")
     wrong = F.raise_error(F.concat(F.lit("not UTF-8: "), F.col("path")))
-    text = F.when(F.is_valid_utf8(text), text).otherwise(wrong) if strict else F.make_valid_utf8(text)
+    text = F.when(~F.is_valid_utf8(text), wrong).otherwise(text) if strict else F.make_valid_utf8(text)
     return files.select("path", F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n")).alias("text"))
 
 
-def read_filled_texts(spark: SparkSession, path: str) -> DataFrame:
-    """path, text, stripped; an empty file is an error."""
-    return filled(read_texts(spark, path))
+def read_filled_texts(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Files as (valid, rejected): path, text, stripped; rejected with the reason, as they hold no text."""
+    rows = filled(read_texts(spark, path))
+    return rows.where("reason is null").drop("reason"), rows.where("reason is not null")
 
 
 def filled(texts: DataFrame) -> DataFrame:
-    """path, text, stripped; an empty one is an error."""
+    """path, text, stripped, reason: every file, with ``empty`` as the reason where no text is left and null elsewhere."""
     rows = texts.withColumn("text", strip("text"))
-    return rows.withColumn("text", F.when(F.col("text") != "", F.col("text")).otherwise(F.raise_error(F.concat(F.lit("empty: "), F.col("path")))))
+    return rows.withColumn("reason", F.when(F.coalesce(F.col("text") == "", F.lit(True)), "empty"))
 
 
 def read_chunks(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

@@ -181,6 +181,14 @@ def test_chunk_files(spark, tmp_path):
         readers.read_texts(spark, str(tmp_path / "bad.txt")).collect()
 
 
+def test_empty_files_are_rejected(spark, tmp_path):
+    for name, text in (("a.txt", " да\r\n"), ("b.txt", "\n"), ("c.txt", " \n\u00a0")):
+        (tmp_path / name).write_text(text)
+    valid, rejected = readers.read_filled_texts(spark, str(tmp_path))
+    assert [r.text for r in valid.collect()] == ["да"] and valid.columns == ["path", "text"]
+    assert sorted((r.path[-5:], r.text, r.reason) for r in rejected.collect()) == [("b.txt", "", "empty"), ("c.txt", "", "empty")]
+
+
 def test_parsed_files(spark):
     df = spark.createDataFrame([(1, 1, "line", "да", "<s>", ""), (1, 0, "author", "он", None, "-5%")], "b int, i int, type string, text string, ssml string, post_tone string")
     r = writers.parsed_files(df, "b", ["i"]).first()

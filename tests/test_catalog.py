@@ -1,5 +1,6 @@
 """Every query of the catalog against its SQL, over the smallest tables."""
 
+import duckdb
 import pytest
 from compare import connect, spark_rows, sql_rows
 
@@ -32,3 +33,15 @@ def test_runs(spark, name):
 def test_rule_fires(spark, name):
     plain = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
     assert any(r.value != plain[r.doc_id] for r in QUERIES[name](spark, SF).collect())
+
+
+ODD_TEXTS = ["", " \n\t", None, "\u00a0\u2003", " да \n", "a\n\nb"]
+
+
+@pytest.mark.parametrize("name", ["texts_filled", "texts_strict"])
+def test_odd_texts_equal_sql(spark, tmp_path, name):
+    """Empty, blank and missing texts stop nothing."""
+    spark.createDataFrame(list(enumerate(ODD_TEXTS)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert spark_rows(QUERIES[name](spark, str(tmp_path))) == sql_rows(con, SQL[name])
