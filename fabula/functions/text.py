@@ -17,6 +17,7 @@ COMMA_WORDS = (
     "блин", "бля", "блядь", "сука", "короче", "типа", "вроде", "значит", "походу", "похоже", "слушай", "слышь",
     "кстати", "вообще", "реально", "честно", "блинчик",
 )
+_WITH_IOTA = "".join(c for c in map(chr, range(0x1F80, 0x2000)) if len(c.upper()) > len(c.title()) and c.title() != c)
 HEADING = r"^(Том\p{Z}+\p{Nd}+\p{Z}+)?Глава\p{Z}+\p{Nd}+(\p{Z}*[-–—:]\p{Z}+.+)?\p{Z}*$"
 
 
@@ -85,6 +86,15 @@ def capitalize(t: Column | str) -> Column:
     return F.concat(F.upper(F.left(t, F.lit(1))), F.substring(t, F.lit(2), F.length(t)))
 
 
+def capitalize_letter(t: Column | str) -> Column:
+    """The first character as one capital letter: ẞ for ß, and letters whose capital takes several stay as they are."""
+    t = _col(t)
+    first = F.left(t, F.lit(1))
+    # title case has the one-letter capitals of Greek letters with an iota below
+    one = F.translate(first, "ß" + _WITH_IOTA, "ẞ" + "".join(c.title() for c in _WITH_IOTA))
+    return F.concat(F.when(F.length(F.upper(first)) == 1, F.upper(first)).otherwise(one), F.substring(t, F.lit(2), F.length(t)))
+
+
 def kind(t: Column | str) -> Column:
     """question, exclamation or line, by the last character."""
     last = F.right(_col(t), F.lit(1))

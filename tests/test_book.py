@@ -30,6 +30,7 @@ def values(spark, inputs, expr, kind="string"):
         (T.heading_normalize, {"Глава 1—Кто-то": "Глава 1 - Кто - то"}),
         (T.compact_wide, {"a b\u200bc": "a bc", "  ": ""}),
         (T.capitalize, {"ёж": "Ёж", "": "", "aB": "AB"}),
+        (T.capitalize_letter, {"ёж": "Ёж", "": "", "ßa": "ẞa", "ŉa": "ŉa", "ﬁn": "ﬁn", "ᾳ": "ᾼ", "ΐ": "ΐ", "ǆa": "Ǆa", "😀": "😀"}),
         (T.clean_wrappers, {"\ufeff\ufeff`a ": "a"}),
         (T.unescape_newlines, {"a\\r\\nb\\nc\\rd": "a\nb\nc\nd"}),
         (T.isolate_headings, {"конец. Том 1 Глава 2 - Мост\nда": "конец.\n\nТом 1 Глава 2 - Мост\n\nда"}),

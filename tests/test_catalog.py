@@ -35,13 +35,20 @@ def test_rule_fires(spark, name):
     assert any(r.value != plain[r.doc_id] for r in QUERIES[name](spark, SF).collect())
 
 
-ODD_TEXTS = ["", " \n\t", None, "\u00a0\u2003", " да \n", "a\n\nb"]
+def equals_sql(spark, path, name, texts):
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{path}/documents.parquet/*.parquet'")
+    assert spark_rows(QUERIES[name](spark, str(path))) == sql_rows(con, SQL[name])
 
 
 @pytest.mark.parametrize("name", ["texts_filled", "texts_strict"])
 def test_odd_texts_equal_sql(spark, tmp_path, name):
     """Empty, blank and missing texts stop nothing."""
-    spark.createDataFrame(list(enumerate(ODD_TEXTS)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    con = duckdb.connect()
-    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
-    assert spark_rows(QUERIES[name](spark, str(tmp_path))) == sql_rows(con, SQL[name])
+    equals_sql(spark, tmp_path, name, ["", " \n\t", None, "\u00a0\u2003", " да \n", "a\n\nb"])
+
+
+@pytest.mark.parametrize("name", ["dialogue_chunks", "adjacent_merge"])
+def test_capitals_equal_sql(spark, tmp_path, name):
+    """Letters whose capital takes several, at the start of a text, a line, a sentence and a remark."""
+    equals_sql(spark, tmp_path, name, ["ßheit", "Von. ßpfber.\nß ensch", "a, ßb. c the ßd", "straße", ""])
