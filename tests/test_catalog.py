@@ -52,3 +52,8 @@ def test_odd_texts_equal_sql(spark, tmp_path, name):
 def test_capitals_equal_sql(spark, tmp_path, name):
     """Letters whose capital takes several, at the start of a text, a line, a sentence and a remark."""
     equals_sql(spark, tmp_path, name, ["ßheit", "Von. ßpfber.\nß ensch", "a, ßb. c the ßd", "straße", ""])
+
+
+def test_capitals_of_pieces_equal_sql(spark, tmp_path):
+    """Pieces of long speech and of long remarks that start with such a letter, and a chunk just at the limit."""
+    equals_sql(spark, tmp_path, "parse_book", ["ßpfch " * 120, "ab, " + "ßcd ef. " * 60, "ß" + "x" * 198, "ß" + "x" * 450])
