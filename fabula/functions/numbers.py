@@ -79,12 +79,15 @@ def integer_to_words(n: Column) -> Column:
     return F.when(text.startswith("-"), F.concat(F.lit(MINUS + " "), digits_to_words(F.ltrim(text, F.lit("-"))))).otherwise(digits_to_words(text))
 
 
-def numbers_to_words(t: Column | str) -> Column:
-    """Every run of digits in a text in words; what is around it stays."""
+def numbers_to_words(t: Column | str, digits: str = r"\p{Nd}") -> Column:
+    """Every run of digits in a text in words; what is around it stays.
+
+    ``digits``, for a class of a regular expression, says which digits are meant.
+    """
     t = F.col(t) if isinstance(t, str) else t
-    parts = F.regexp_extract_all(t, F.lit(r"(\p{Nd}+|\P{Nd}+)"), 1)
-    said = F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\p{Nd}"), digits_to_words(p)).otherwise(p)), "")
-    return F.when(t.rlike(r"\p{Nd}"), said).otherwise(t)
+    parts = F.regexp_extract_all(t, F.lit(rf"([{digits}]+|[^{digits}]+)"), 1)
+    said = F.array_join(F.transform(parts, lambda p: F.when(p.rlike(rf"^[{digits}]"), digits_to_words(p)).otherwise(p)), "")
+    return F.when(t.rlike(rf"[{digits}]"), said).otherwise(t)
 
 
 def spell(text: str) -> str:

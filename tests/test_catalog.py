@@ -57,3 +57,11 @@ def test_capitals_equal_sql(spark, tmp_path, name):
 def test_capitals_of_pieces_equal_sql(spark, tmp_path):
     """Pieces of long speech and of long remarks that start with such a letter, and a chunk just at the limit."""
     equals_sql(spark, tmp_path, "parse_book", ["ßpfch " * 120, "ab, " + "ßcd ef. " * 60, "ß" + "x" * 198, "ß" + "x" * 450])
+
+
+@pytest.mark.parametrize("name", ["dialogue_chunks", "parse_book"])
+def test_word_edges_and_digits_equal_sql(spark, tmp_path, name):
+    """Marks, number signs and letters beyond 16 bits beside verbs and words without commas, other scripts' digits, İ, control characters."""
+    beside = [x for c in "\u0301\u203f\u200d²ⅠⒶª_𐐀😀" for x in (f"a\n- сказал{c} b", f"b, блин{c}, c", f"b, {c}блин, c", f"b, вообще{c} c")]
+    texts = ["a ٣ b 12 c५ d", "a\nİa сказал b", "ab, İ кивнул. Cd", "a \x01 b\x02, \x01блин\x02, c", "Да, КОРОЧЕ, нет", "x\n- " + "сказал\u0301 ab. " * 40]
+    equals_sql(spark, tmp_path, name, texts + beside)
